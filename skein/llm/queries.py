@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.llm import mix, repetition, tokens
+from skein.llm import mix, origin, repetition, tokens
 
 
 def _table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _sources(spark, d):
+    return _table(spark, d, "documents").where("source = 'source_code'")
+
+
+def _declared(spark, d):
+    return _table(spark, d, "documents").where("file_path like '%.gitattributes'").select("repository", "file_path", "text")
+
+
+def p7_found(spark, d):
+    return origin.file_origins(_sources(spark, d), _declared(spark, d)).where("origin is not null").select("doc_id")
+
+
+def p7_origins(spark, d):
+    return origin.file_origins(_sources(spark, d), _declared(spark, d))
+
+
 def p8_ids(spark, d):
     return tokens.token_ids(_table(spark, d, "documents"))
 
@@ -47,7 +63,7 @@ def p10_shares(spark, d):
     return repetition.document_repetition(_prose(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_origins, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_shares)}
 
 SQL = {
     "p8_round_trip": "select source, count(*) as texts, 0::bigint as differing from documents group by source",
