@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.llm import mix, origin, repetition, tokens
+from skein.llm import broken, mix, origin, repetition, tokens
 
 
 def _table(spark, d, name):
@@ -19,6 +19,18 @@ def _declared(spark, d):
     return _table(spark, d, "documents").where("file_path like '%.gitattributes'").select("repository", "file_path", "text")
 
 
+def p1_found(spark, d):
+    return broken.broken_files(_sources(spark, d), _table(spark, d, "ast_records"))
+
+
+def p1_rates(spark, d):
+    return broken.broken_rates(_sources(spark, d), _table(spark, d, "ast_records"))
+
+
+def p1_repairs(spark, d):
+    return broken.repairs(_sources(spark, d), _table(spark, d, "ast_records"))
+
+
 def p7_found(spark, d):
     return origin.file_origins(_sources(spark, d), _declared(spark, d)).where("origin is not null").select("doc_id")
 
@@ -63,7 +75,7 @@ def p10_shares(spark, d):
     return repetition.document_repetition(_prose(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_origins, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_repairs, p7_found, p7_origins, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_shares)}
 
 SQL = {
     "p8_round_trip": "select source, count(*) as texts, 0::bigint as differing from documents group by source",
