@@ -11,8 +11,8 @@ block per source is left and its last two units are landed.
 
 from __future__ import annotations
 
+import math
 import random
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,17 +58,13 @@ def flight(prob: list[float], size: list[float], rng: random.Random) -> list[flo
         live = [x for x in live if 0.0 < p[x] < 1.0]
 
 
-def land(prob: list[float], size: list[float]) -> list[float]:
-    """Settle the few units left at the least deviation in size, then in number."""
-    left = [i for i, x in enumerate(prob) if 0.0 < x < 1.0]
-    want = sum(prob[i] * size[i] for i in left), sum(prob[i] for i in left)
-    best = min(
-        product((0.0, 1.0), repeat=len(left)),
-        key=lambda s: (abs(sum(x * size[i] for x, i in zip(s, left)) - want[0]), abs(sum(s) - want[1])),
-    )
-    out = list(prob)
-    for x, i in zip(best, left):
-        out[i] = x
+def land(prob: list[float], rng: random.Random) -> list[float]:
+    """Settle the few units left by systematic sampling: each keeps its probability, their number is off by less than one."""
+    out, total, start = list(prob), 0.0, rng.random()
+    for i, x in enumerate(prob):
+        if 0.0 < x < 1.0:
+            out[i] = float(math.floor(total + x - start) > math.floor(total - start))
+            total += x
     return out
 
 
@@ -115,11 +111,12 @@ def copies(counts: DataFrame, sources: list[dict], seed: int = 1, block: int = B
     layout = "_u long, source string, n_tokens long, p double"
 
     def fly(last: bool):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_u", ignore_index=True)
             size = [float(x) for x in pdf["n_tokens"]]
-            p = flight(pdf["p"].tolist(), size, random.Random(f"{seed} {key}"))
-            pdf["p"] = land(p, size) if last else p
+            rng = random.Random(f"{seed} {key}")
+            p = flight(pdf["p"].tolist(), size, rng)
+            pdf["p"] = land(p, rng) if last else p
             return pdf[["_u", "source", "n_tokens", "p"]]
 
         return run
