@@ -18,7 +18,7 @@ def singular(word: Column) -> Column:
     low = F.lower(word)
     c = F.try_element_at(F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv)), low)
     rule = (
-        F.when(low.rlike("[^aeiou]ies$"), F.regexp_replace(low, "ies$", "y")).when(low.rlike("(ss|us|is)$"), low).when(low.rlike("(x|z|ch|sh|ss)es$"), F.regexp_replace(low, "es$", "")).when(low.endswith("s"), F.regexp_replace(low, "s$", "")).otherwise(low)
+        F.when(low.rlike("[^aeiou]ies$"), F.regexp_replace(low, "ies$", "y")).when(low.rlike("(ss|us|is)$"), low).when(low.rlike("(x|z|ch|sh|ss|us)es$"), F.regexp_replace(low, "es$", "")).when(low.endswith("s"), F.regexp_replace(low, "s$", "")).otherwise(low)
     )
     return F.coalesce(c, rule)
 
