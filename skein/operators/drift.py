@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.storage import materialize
+from skein.storage import materialize, spread
 
 TYPES = ("string", "integer", "fraction", "boolean", "object", "array")
 
@@ -75,7 +75,7 @@ def footers(lines: DataFrame) -> DataFrame:
     that it still takes part in its feed's order.  Lines that aren't JSON
     objects (null, empty, ``null``, cut off) hold no fields.
     """
-    rows = lines.select("file_name", "feed", F.col("file_seq").cast("long"), "raw").mapInPandas(
+    rows = spread(lines.select("file_name", "feed", F.col("file_seq").cast("long"), "raw")).mapInPandas(
         _footers, "file_name string, feed string, file_seq long, field string, kind string"
     )
     return rows.distinct()

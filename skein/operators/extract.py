@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.labels import stable_id
+from skein.storage import spread
 
 Fact = tuple[str, str, str, str, int]
 SCHEMA = "kind string, name string, owner string, value string, line int"
@@ -473,7 +474,7 @@ def file_facts(files: DataFrame, keep: list[str], path: str = "file_path", text:
 
     src = files.select(*keep, F.col(path).alias("_path"), F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInPandas(run, f"{schema}, {SCHEMA}")
+    return spread(src).mapInPandas(run, f"{schema}, {SCHEMA}")
 
 
 def symbol_ids(facts: DataFrame, path: str) -> DataFrame:

@@ -62,3 +62,16 @@ class Rounds:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work per row, where a scan gives fewer tasks than there are cores.
+
+    A large input has more tasks than cores and is left as it is, so nothing is
+    shuffled at scale; an input that has been shuffled already is left, too.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
