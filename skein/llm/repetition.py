@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import spread
+
 #: A passage is so long: a word counts 2, a character of a script without spaces 1.
 PASSAGE = 10
 #: Share of the characters in second or later copies from which a document is reported.
@@ -226,6 +228,6 @@ def document_repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(
         run, f"doc_id {kind}, n_chars long, covered_chars long, share double, longest_repeat long"
     )

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words at least this long aren't kept by fingerprint but walked each time.
 LONG_WORD = 512
@@ -317,7 +319,7 @@ def token_ids(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, doc_id: str
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY, text: str = "text") -> DataFrame:
@@ -333,7 +335,7 @@ def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = DEFAULT_VOC
 
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, n_tokens long")
+    return spread(rows).mapInArrow(run, f"{schema}, n_tokens long")
 
 
 def decoded(ids: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
