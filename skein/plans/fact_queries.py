@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.paths import canonical_path
-from skein.operators import evidence, extract, routes
+from skein.operators import evidence, extract, routes, semantic
 from skein.operators.hierarchy import router_chains
 from skein.plans.common import table
 from skein.plans.pipeline_queries import _P5
@@ -95,12 +95,33 @@ def event_stream_unique(spark, d):
     return spark.read.schema("eventType string").parquet(out).groupBy("eventType").agg(F.count(F.lit(1)).alias("events"))
 
 
+def symbol_breaks(spark, d):
+    """Recorded symbols of each repository before and after the middle of 2025; calls weigh nothing here."""
+    a = table(spark, d, "ast_records").select("repository", F.coalesce(F.col("analyzed_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False)).alias("early"), F.explode("symbols").alias("s")).where("s.name is not null")
+
+    def side(rows):
+        key = [F.coalesce("repository", F.lit("")).alias("path"), F.col("s.name").alias("name"), F.col("s.kind").alias("kind")]
+        return rows.groupBy(*key).agg(F.min("s.symbol_id").alias("signature"), F.lit("public").alias("visibility"))
+
+    none = spark.createDataFrame([], "src string, dst string")
+    return semantic.symbol_breaks(side(a.where("early")), side(a.where("not early")), none).select("path", "name", "kind", "change", "severity", "score")
+
+
+def type_hashes(spark, d):
+    return semantic.type_hashes(_facts(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (file_facts, symbol_ids, module_groups, api_surface, import_edges, call_edges, layer_edges, search_index, tech_stack, quality_warnings, route_candidates, mount_status, event_stream, event_stream_unique)
+    for f in (symbol_breaks, type_hashes, file_facts, symbol_ids, module_groups, api_surface, import_edges, call_edges, layer_edges, search_index, tech_stack, quality_warnings, route_candidates, mount_status, event_stream, event_stream_unique)
 }
 
 SQL = {
+    "symbol_breaks": """with a as (select coalesce(repository, '') as path, coalesce(analyzed_at < timestamp '2025-07-01', false) as early, unnest(symbols) as s from ast_records),
+f as (select path, early, s.name as name, s.kind as kind, min(s.symbol_id) as g from a where s.name is not null group by all),
+o as (select * from f where early), n as (select * from f where not early)
+select o.path, o.name, o.kind, case when n.path is null then 'SYMBOL_REMOVED' else 'SIGNATURE_CHANGED' end as change, 'MAJOR' as severity, 8.0 as score
+from o left join n on o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind where n.path is null or o.g is distinct from n.g""",
     "mount_status": _P5
     + """, a as (select repo, depth from ch union all select repo, -1 from bad)
 select repo as repository, case when min(depth) < 0 or max(depth) > 10 then 'FAILED' else 'OK' end as status,
