@@ -120,7 +120,7 @@ SQL = {
     "symbol_breaks": """with a as (select coalesce(repository, '') as path, coalesce(analyzed_at < timestamp '2025-07-01', false) as early, unnest(symbols) as s from ast_records),
 f as (select path, early, s.name as name, s.kind as kind, min(s.symbol_id) as g from a where s.name is not null group by all),
 o as (select * from f where early), n as (select * from f where not early)
-select o.path, o.name, o.kind, case when n.path is null then 'SYMBOL_REMOVED' else 'SIGNATURE_CHANGED' end as change, 'MAJOR' as severity, 8.0 as score
+select o.path, o.name, o.kind, case when n.path is null then 'SYMBOL_REMOVED' else 'SIGNATURE_CHANGED' end as change, 'MAJOR' as severity, 8.0::double as score
 from o left join n on o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind where n.path is null or o.g is distinct from n.g""",
     "mount_status": _P5
     + """, a as (select repo, depth from ch union all select repo, -1 from bad)
