@@ -76,10 +76,18 @@ def mount_status(spark, d):
     return routes.mount_status(router_chains(table(spark, d, "router_mounts")))
 
 
+def _stream(spark, d):
+    """The envelopes as a stream, whether the table is one file or a folder of files."""
+    path = f"{d}/event_envelopes.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    where, glob = (path, "*.parquet") if folder else (d, "event_envelopes.parquet")
+    return envelopes.envelope_stream(spark, where, glob, table(spark, d, "event_envelopes").schema)
+
+
 def event_stream(spark, d):
     """Accepted and rejected envelopes of a finished stream, counted by reason and type."""
-    schema = table(spark, d, "event_envelopes").schema
-    gated = envelopes.gate(envelopes.envelope_stream(spark, d, "*event_envelopes*", schema))
+    gated = envelopes.gate(_stream(spark, d))
     ok, bad, state = (fresh_path(spark, x) for x in ("accepted", "rejected", "stream"))
     envelopes.route(gated, ok, bad, state).awaitTermination()
     both = spark.read.option("recursiveFileLookup", "true").parquet(ok, bad)
@@ -88,8 +96,7 @@ def event_stream(spark, d):
 
 def event_stream_unique(spark, d):
     """Distinct events of a stream by id, counted by type."""
-    schema = table(spark, d, "event_envelopes").schema
-    one = envelopes.unique_events(envelopes.gate(envelopes.envelope_stream(spark, d, "*event_envelopes*", schema)).where("ok"), delay="400 days")
+    one = envelopes.unique_events(envelopes.gate(_stream(spark, d)).where("ok"), delay="400 days")
     out, state = fresh_path(spark, "unique"), fresh_path(spark, "stream")
     one.select("eventType").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("eventType string").parquet(out).groupBy("eventType").agg(F.count(F.lit(1)).alias("events"))
