@@ -146,7 +146,24 @@ def _p6_part(tag: str, array: str, name: str) -> str:
   select report_id, change_no, unnest(b.{array}) as x, generate_subscripts(b.{array}, 1)::int as item_no from c where b is not null) where x is not null"""
 
 
+_P3 = r"""with l as (select * from envelope_files where raw is not null and json_valid(raw) and json_type(raw) = 'OBJECT'),
+t as (select distinct l.file_name, regexp_replace(substr(j.fullkey, 3), '\[\d+\]', '[]', 'g') as field,
+ case j.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'DOUBLE' then 'fraction' else 'integer' end as kind
+ from l, json_tree(l.raw) j where j.type <> 'NULL' and j.fullkey <> '$'),
+k as (select file_name, field, string_agg(kind, '|' order by kind) as kind from t group by all),
+f as (select file_name, feed, row_number() over (partition by feed order by file_seq, file_name) as no from (select distinct file_name, feed, file_seq from envelope_files)),
+p as (select k.*, f.feed, f.no from k join f using (file_name)),
+c as (select coalesce(b.feed, a.feed) as feed, coalesce(b.no, a.no + 1) as no, coalesce(a.field, b.field) as field, a.kind as old, b.kind as new
+ from p a full join p b on a.feed = b.feed and a.no + 1 = b.no and a.field = b.field where a.kind is distinct from b.kind),
+e as (select c.*, f.file_name, case when field like '%[]' then left(field, -2) else regexp_replace(field, '(^|\.)[^.]*$', '') end as parent from c join f using (feed, no) where no > 1),
+g as (select *, row_number() over (partition by file_name, parent, coalesce(old, new), old is null order by field) as n from e where old is null or new is null)
+select file_name, 'type_changed' as change, field, '' as new_field from e where old is not null and new is not null
+union all select coalesce(a.file_name, b.file_name), case when a.field is null then 'added' when b.field is null then 'removed' else 'renamed' end, coalesce(a.field, b.field),
+ case when a.field is not null and b.field is not null then b.field else '' end
+from (select * from g where new is null) a full join (select * from g where old is null) b on a.file_name = b.file_name and a.parent = b.parent and a.old = b.new and a.n = b.n"""
+
 SQL = {
+    "p3_found": _P3,
     "p2_found": _P2 + " select delivery_id from n where rn > 1",
     "p2_messages": _P2
     + """ select delivery_id, eventId, correlationId, timestamp, payload.runId as "runId" from event_envelopes
