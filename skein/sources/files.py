@@ -11,7 +11,11 @@ ANALYSED = ["java", "js", "jsx", "mjs", "cjs", "ts", "tsx", "py", "go", "sql", "
 
 
 def file_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, content, size): every file below ``root``; content is null where it isn't UTF-8, '' where empty."""
+    """(path, content, size): every file below ``root``; content is null where it isn't UTF-8.
+
+    Spark's file scan leaves out files of no bytes, so an empty file has no row,
+    as a missing one; joins on path should read a missing content as ''.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace("file://", "").replace(".", r"\."), "")

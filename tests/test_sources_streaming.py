@@ -12,10 +12,11 @@ def test_file_tree_and_changes(spark, tmp_path):
     (tmp_path / "src" / "a.py").write_text("x = 1")
     (tmp_path / "src" / "bin.py").write_bytes(b"\xff\xfe\x00")
     (tmp_path / "node_modules").mkdir()
-    (tmp_path / "node_modules" / "b.js").write_text("")
+    (tmp_path / "node_modules" / "b.js").write_text(" ")
+    (tmp_path / "node_modules" / "empty.js").write_text("")
     tree = files.file_tree(spark, str(tmp_path))
     got = {r["path"]: r["content"] for r in tree.collect()}
-    assert got == {"src/a.py": "x = 1", "src/bin.py": None, "node_modules/b.js": ""}
+    assert got == {"src/a.py": "x = 1", "src/bin.py": None, "node_modules/b.js": " "}
     assert {r["path"] for r in files.analysed(tree).collect()} == {"src/a.py", "src/bin.py"}
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("n", None)], "path string, content string")
     new = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "3"), ("e", "9"), ("n", None)], "path string, content string")
