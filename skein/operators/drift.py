@@ -183,6 +183,7 @@ def alias_table(change_log: DataFrame) -> DataFrame:
         first = first.join(step, F.col("field") == F.col("_a"), "left").select(
             "alias", F.when(F.col("_f") != F.col("alias"), F.col("_f")).otherwise(F.col("field")).alias("field")
         ).distinct()
+        first = materialize(first, "aliases")  # or each round would double the plan
     return first.groupBy("alias").agg(F.min("field").alias("field"))
 
 
@@ -194,7 +195,9 @@ def consistent_table(lines: DataFrame, footer: DataFrame, change_log: DataFrame)
 
     The columns are the leaf fields outside arrays under their first names,
     with dots as underscores, and arrays as JSON text; several types of one
-    field widen (integer to fraction, anything else to string).  A value that
+    field widen (integer to fraction, anything else to string).  A field that is
+    an object in some files only is a string column, too, which holds those
+    objects as JSON text, beside the columns of their leaves.  A value that
     can't be cast is null.  Only the catalogue (one row per field) reaches the
     driver: it is the schema.
     """
@@ -205,7 +208,7 @@ def consistent_table(lines: DataFrame, footer: DataFrame, change_log: DataFrame)
         .select(F.coalesce(names["field"], footer["field"]).alias("base"), footer["field"].alias("spelled"), "kind")
         .groupBy("base")
         .agg(F.array_sort(F.collect_set("spelled")).alias("spellings"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-        .where("not array_contains(kinds, 'object')")
+        .where("kinds <> array('object')")
         .orderBy("base")
         .collect()
     )

@@ -52,3 +52,28 @@ def test_deep_nesting_is_read(spark):
     out = {}
     drift.walk(v, "", out)
     assert len(out) == 301
+
+
+def test_string_to_object_drift_keeps_both(spark):
+    lines = make(
+        spark,
+        [
+            ("f", 1, [{"a": {"b": "s", "o": {"x": 1}}}]),
+            ("f", 2, [{"a": {"b": {"name": "t", "n": 2}, "o": {"x": 2}}}, {"a": {"b": 7}}]),
+            ("g", 1, [{"a": {"b": "never drifted"}}]),
+        ],
+    )
+    foot = drift.footers(lines)
+    table = drift.consistent_table(lines, foot, drift.changes(foot))
+    assert set(table.columns) == {"_file_name", "_line_no", "a_b", "a_b_name", "a_b_n", "a_o_x"}
+    assert dict(table.dtypes)["a_b"] == "string"
+    got = rows(table.select("_file_name", "_line_no", "a_b", "a_b_name", "a_b_n", "a_o_x"))
+    assert got == sorted(
+        [
+            ("f/1", 0, "s", None, None, 1),
+            ("f/2", 0, '{"name":"t","n":2}', "t", 2, 2),
+            ("f/2", 1, "7", None, None, None),
+            ("g/1", 0, "never drifted", None, None, None),
+        ],
+        key=repr,
+    )
