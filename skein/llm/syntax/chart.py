@@ -183,8 +183,8 @@ class Grammar:
             now = list(dict.fromkeys(following))
         raise AssertionError
 
-    def repair(self, start: str, s: str, limit: int, steps: int = 1_500) -> tuple[int, list[int]] | None:
-        """(cost, places) of the least edits that make ``s`` a ``start``; None beyond ``limit`` edits or ``steps`` items.
+    def repair(self, start: str, s: str, limit: int) -> tuple[int, list[int]] | None:
+        """(cost, places) of the least edits that make ``s`` a ``start``; None beyond ``limit`` edits.
 
         Lightest derivation: an item is (place in a rule, origin, position) with
         the edits spent since its origin; inserting a terminal, dropping a token
@@ -206,8 +206,7 @@ class Grammar:
         for at in self.starts[goal]:
             push(0, at, 0, 0, ())
         closed: set[tuple[int, int, int]] = set()
-        while heap and steps:
-            steps -= 1
+        while heap:
             cost, pos, at, origin, edits = heapq.heappop(heap)
             pos = -pos
             key = (at, origin, pos)

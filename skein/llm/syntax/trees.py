@@ -16,9 +16,8 @@ from skein.llm.syntax.chart import Grammar
 CLOSER = {"(": ")", "[": "]", "{": "}", "$": "}", "I": "i", "T": "t"}
 #: Distinct pieces kept per language and worker; beyond it the table starts anew.
 KEPT = 300_000
-#: Most edits looked for in one piece; a piece beyond counts its tokens.
+#: Edits looked for first in one piece; the bound is doubled until they do.
 EDITS = 2
-LONGEST_REPAIR = 40
 
 
 @dataclass
@@ -259,9 +258,9 @@ class Language:
         key = ("mend", rule, s)
         got = self.memo.get(key)
         if got is None:
-            got = self.grammar.repair(rule, s, EDITS) if len(s) <= LONGEST_REPAIR else None
-            if got is None:
-                got = (max(1, len(s)), list(range(max(1, len(s)))))
+            limit = EDITS
+            while (got := self.grammar.repair(rule, s, limit)) is None:
+                limit *= 2
             got = self.memo[key] = (max(1, got[0]), got[1] or [0])
         return got
 

@@ -145,3 +145,10 @@ def test_over_tables(spark):
     assert rates == {("r", "python"): (2, 2), ("r", "javascript"): (1, 0), ("r", "json"): (1, 1), ("q", "go"): (1, 0), ("q", "java"): (1, 1)}
     assert {r["doc_id"] for r in broken.repairs(docs, rec).collect()} == {1, 4, 6}
     assert broken.broken_files(docs.where("false"), rec).collect() == [] and sorted(r[0] for r in broken.broken_files(docs, rec.where("false")).collect()) == [1, 1]
+
+
+def test_repairs_of_long_pieces_and_many_edits():
+    go = "package a\n\nfunc f() {\n\tx := 1" + " + 1" * 30 + " 1\n\tg(x)\n}\n"
+    assert cost_of(go, "go", True)[0::2] == (1, 4)
+    three = "package a\n\nfunc f() {\n\tx := 1 1 + 1 1 + 1 1\n\tg(x)\n}\n"
+    assert cost_of(three, "go", True)[0] == 3
