@@ -3,14 +3,15 @@
 A token class is one character, so a piece of source is a short string and what
 has been decided once for a string is looked up ever after.  The zero-cost
 sweep is an Earley recogniser; where it fails, the least number of inserted,
-deleted or replaced tokens is found by lightest derivation over the same rules.
+deleted or replaced tokens is found by minimum-cost chart parsing over the same rules.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
+from skein.llm.syntax.repair import Repairer
+
 END = -1
 
 
@@ -41,6 +42,7 @@ class Grammar:
         missing = [k for k, n in self.names.items() if not self.rules[n]]
         if missing:
             raise ValueError(f"no rule for {missing}")
+        self._repairer: Repairer | None = None
         self._compile()
 
     def _name(self, name: str) -> int:
@@ -183,62 +185,8 @@ class Grammar:
             now = list(dict.fromkeys(following))
         raise AssertionError
 
-    def repair(self, start: str, s: str, limit: int) -> tuple[int, list[int]] | None:
-        """(cost, places) of the least edits that make ``s`` a ``start``; None beyond ``limit`` edits.
-
-        Lightest derivation: an item is (place in a rule, origin, position) with
-        the edits spent since its origin; inserting a terminal, dropping a token
-        and replacing one cost an edit each.
-        """
-        symbol, left, matches = self.symbol, self.left, self.matches
-        n, goal = len(s), self.names[start]
-        best: dict[tuple[int, int, int], int] = {}
-        heap: list[tuple[int, int, int, int, tuple[int, ...]]] = []
-        waits: dict[tuple[int, int], list[tuple[int, int, int, tuple[int, ...]]]] = {}
-        done: dict[tuple[int, int], list[tuple[int, int, tuple[int, ...]]]] = {}
-
-        def push(cost: int, at: int, origin: int, pos: int, edits: tuple[int, ...]) -> None:
-            key = (at, origin, pos)
-            if cost <= limit and cost < best.get(key, 1 << 30):
-                best[key] = cost
-                heapq.heappush(heap, (cost, -pos, at, origin, edits))
-
-        for at in self.starts[goal]:
-            push(0, at, 0, 0, ())
-        closed: set[tuple[int, int, int]] = set()
-        while heap:
-            cost, pos, at, origin, edits = heapq.heappop(heap)
-            pos = -pos
-            key = (at, origin, pos)
-            if key in closed:
-                continue
-            closed.add(key)
-            sym = symbol[at]
-            if sym == END:
-                if left[at] == goal and origin == 0:
-                    if pos == n:
-                        return cost, list(edits)
-                    if cost + n - pos <= limit:
-                        best.pop((at, 0, n), None)
-                        push(cost + n - pos, at, 0, n, (*edits, *range(pos, n)))
-                done.setdefault((left[at], origin), []).append((pos, cost, edits))
-                for a, o, c, e in waits.get((left[at], origin), ()):
-                    push(c + cost, a + 1, o, pos, e + edits)
-            elif sym % 2 == 0:
-                if pos < n:
-                    if sym in matches[s[pos]]:
-                        push(cost, at + 1, origin, pos + 1, edits)
-                    else:
-                        push(cost + 1, at + 1, origin, pos + 1, (*edits, pos))
-                    push(cost + 1, at, origin, pos + 1, (*edits, pos))
-                push(cost + 1, at + 1, origin, pos, (*edits, pos))
-            else:
-                b = sym // 2
-                first = (b, pos) not in waits
-                waits.setdefault((b, pos), []).append((at, origin, cost, edits))
-                if first:
-                    for a in self.starts[b]:
-                        push(0, a, pos, pos, ())
-                for end, c, e in done.get((b, pos), ()):
-                    push(cost + c, at + 1, origin, end, edits + e)
-        return None
+    def repair(self, start: str, s: str) -> tuple[int, list[int]]:
+        """(cost, places) of the least edits that make ``s`` a ``start``, whatever their number."""
+        if self._repairer is None:
+            self._repairer = Repairer(self.rules, len(self.terminals), self.matches)
+        return self._repairer.repair(self.names[start], s)

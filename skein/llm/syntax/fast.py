@@ -240,7 +240,9 @@ class PythonSweep(Sweep):
 
     def classify(self, t: str) -> str:
         if t and t[0] in "\r\n":
-            return chr(0xE000 + min(6000, len(re.split(r"[\r\n]", t)[-1].replace("\f", "").expandtabs(8))))
+            column = len(re.split(r"[\r\n]", t)[-1].replace("\f", "").expandtabs(8))
+            # deeper columns have no sign here: such a text is left to the reader
+            return chr(0xE000 + column) if column < 6000 else self.bad
         return super().classify(t)
 
     def name(self, t: str) -> str:

@@ -49,19 +49,17 @@ def cost_of(text: str | None, language: str | None, track: bool = False) -> tupl
     Blank texts and texts of other languages cost nothing; a leading byte order
     mark is no error.  Without ``track`` a broken text costs 1.  Kinds:
     ``conflict``, ``truncated``, ``mismatch`` (edits all over the text) and
-    ``local``.  Where an exact parser is at hand it follows: a text it accepts
-    costs nothing, one it refuses at least 1.
+    ``local``.  The chart alone decides; the exact parsers of Python and JSON
+    serve the tests.
     """
     if not text or not text.strip() or language not in _MAKE:
         return 0, "", 0, 0
     text = text.removeprefix("﻿")
-    lang, sweep, lexer, exact = tools(language)
+    lang, sweep, lexer, _ = tools(language)
     cost, defects, tokens, at = 0, [], [], []
     if not sweep.accepts(text):
         tokens, at, broken = lexer(text)
         cost, defects = edit_cost(lang, tokens, broken, track)
-    if exact is not None:
-        cost = max(cost, 1) if not exact(text) else 0
     if not cost or not track:
         return cost, "", 0, 0
     spots = [at[d.at] if d.at < len(at) else len(text) for d in defects] or [len(text)]

@@ -16,8 +16,6 @@ from skein.llm.syntax.chart import Grammar
 CLOSER = {"(": ")", "[": "]", "{": "}", "$": "}", "I": "i", "T": "t"}
 #: Distinct pieces kept per language and worker; beyond it the table starts anew.
 KEPT = 300_000
-#: Edits looked for first in one piece; the bound is doubled until they do.
-EDITS = 2
 
 
 @dataclass
@@ -258,10 +256,8 @@ class Language:
         key = ("mend", rule, s)
         got = self.memo.get(key)
         if got is None:
-            limit = EDITS
-            while (got := self.grammar.repair(rule, s, limit)) is None:
-                limit *= 2
-            got = self.memo[key] = (max(1, got[0]), got[1] or [0])
+            got = self.grammar.repair(rule, s)
+            got = self.memo[key] = (max(1, got[0]), [min(x, max(0, len(s) - 1)) for x in got[1]] or [0])
         return got
 
 

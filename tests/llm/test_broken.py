@@ -120,7 +120,7 @@ def test_least_edits():
 
     for n in range(0, 5):
         for t in itertools.product("abc", repeat=n):
-            assert g.repair("S", s(t), 5)[0] == brute(t), t
+            assert g.repair("S", s(t))[0] == brute(t), t
 
 
 def test_kinds_and_languages():
@@ -152,3 +152,42 @@ def test_repairs_of_long_pieces_and_many_edits():
     assert cost_of(go, "go", True)[0::2] == (1, 4)
     three = "package a\n\nfunc f() {\n\tx := 1 1 + 1 1 + 1 1\n\tg(x)\n}\n"
     assert cost_of(three, "go", True)[0] == 3
+
+
+def test_least_cost_of_random_pieces_against_all_short_strings():
+    """Every string of a small grammar up to a length, by edit distance, against the chart."""
+    import itertools
+    import random
+
+    g = Grammar("S : A ';' S | A ';' | \nA : 'x' '=' E | E\nE : E '+' T | T\nT : 'x' | '(' E ')' | 'x' '(' L ')'\nL : E ',' L | E |")
+    alphabet = "x=+();,"
+    language = [w for n in range(0, 7) for w in itertools.product(alphabet, repeat=n) if g.recognize("S", "".join(map(g.char, w)))[0]]
+    rng = random.Random(5)
+    for _ in range(60):
+        t = [rng.choice(alphabet) for _ in range(rng.randint(0, 4))]
+        best = 99
+        for w in language:
+            d = list(range(len(w) + 1))
+            for i, a in enumerate(t, 1):
+                e = [i]
+                for j, b in enumerate(w, 1):
+                    e.append(min(d[j] + 1, e[-1] + 1, d[j - 1] + (a != b)))
+                d = e
+            best = min(best, d[-1])
+        cost, places = g.repair("S", "".join(map(g.char, t)))
+        assert cost == best == len(places) and all(0 <= x <= len(t) for x in places), t
+
+
+def test_chart_alone_decides_as_the_exact_parsers_do():
+    from skein.llm.syntax.files import tools
+
+    for language in ("python", "json"):
+        exact = tools(language)[3]
+        for t in [*GOOD[language], *BAD[language]]:
+            assert (cost_of(t, language)[0] == 0) == exact(t), (language, t)
+
+
+def test_deep_columns():
+    deep = "if a:\n" + " " * 6500 + "b\n" + " " * 6400 + "c\n"
+    assert cost_of(deep, "python")[0] > 0
+    assert cost_of("if a:\n" + " " * 6500 + "b\n" + " " * 6500 + "c\n", "python")[0] == 0
