@@ -42,7 +42,7 @@ class Grammar:
         missing = [k for k, n in self.names.items() if not self.rules[n]]
         if missing:
             raise ValueError(f"no rule for {missing}")
-        self._repairer: Repairer | None = None
+        self._repairers: dict[str, Repairer] = {}
         self._compile()
 
     def _name(self, name: str) -> int:
@@ -187,6 +187,6 @@ class Grammar:
 
     def repair(self, start: str, s: str) -> tuple[int, list[int]]:
         """(cost, places) of the least edits that make ``s`` a ``start``, whatever their number."""
-        if self._repairer is None:
-            self._repairer = Repairer(self.rules, len(self.terminals), self.matches)
-        return self._repairer.repair(self.names[start], s)
+        if start not in self._repairers:
+            self._repairers[start] = Repairer(self.rules, self.names[start], self.matches)
+        return self._repairers[start].repair(s)

@@ -17,12 +17,23 @@ GATHERED = 256
 
 
 class Repairer:
-    """The pair form of a grammar; symbols are terminals, rules and tails of rules in one numbering."""
+    """The pair form of what a goal reaches; symbols are terminals, rules and tails of rules in one numbering."""
 
-    def __init__(self, rules: list[list[tuple[int, ...]]], terminals: int, matches: dict[str, frozenset[int]]):
-        self.terminals, self.matches = terminals, matches
+    def __init__(self, rules: list[list[tuple[int, ...]]], goal: int, matches: dict[str, frozenset[int]]):
+        reached, todo = {goal: 0}, [goal]
+        tokens: dict[int, int] = {}
+        while todo:
+            for s in (s for alt in rules[todo.pop()] for s in alt):
+                if s % 2 == 0:
+                    tokens.setdefault(s // 2, len(tokens))
+                elif s // 2 not in reached:
+                    reached[s // 2] = len(reached)
+                    todo.append(s // 2)
+        terminals = self.terminals = len(tokens)
+        rules = [rules[n] for n in reached]
+        self.tokens, self.matches = tokens, matches
         self.masks: dict[str, np.ndarray] = {}
-        number = lambda s: s // 2 if s % 2 == 0 else terminals + s // 2
+        number = lambda s: tokens[s // 2] if s % 2 == 0 else terminals + reached[s // 2]
         tails: dict[tuple[int, ...], int] = {}
         pairs: set[tuple[int, int, int]] = set()
         units: set[tuple[int, int]] = set()
@@ -52,9 +63,9 @@ class Repairer:
                 settle(terminals + n, tuple(map(number, alt)))
         self.count = count
         order = sorted(pairs)
-        self.over = np.array([x for x, _, _ in order])
-        self.left = np.array([b for _, b, _ in order])
-        self.right = np.array([c for _, _, c in order])
+        self.over = np.array([x for x, _, _ in order], np.int64)
+        self.left = np.array([b for _, b, _ in order], np.int64)
+        self.right = np.array([c for _, _, c in order], np.int64)
         self.heads, self.at = np.unique(self.over, return_index=True)
         self.empty = np.array(sorted(empty), dtype=np.int64)
         self.nothing = empty
@@ -132,7 +143,7 @@ class Repairer:
         m = self.masks.get(c)
         if m is None:
             m = np.zeros(self.terminals, np.int16)
-            m[[t // 2 for t in self.matches[c]]] = 1
+            m[[self.tokens[t // 2] for t in self.matches[c] if t // 2 in self.tokens]] = 1
             self.masks[c] = m
         return m
 
@@ -149,7 +160,7 @@ class Repairer:
             row = np.full((m, self.count), FAR, np.int16)
             row[:, : self.terminals] = size - (hits[size:] - hits[:-size] > 0)
             row[:, self.empty] = size
-            if size > 1:
+            if size > 1 and len(self.over):
                 best = np.full((m, len(self.over)), FAR, np.int16)
                 for k in range(1, size):
                     a = lefts[k][:m] if kept else out[k][:m, self.left]
@@ -164,10 +175,10 @@ class Repairer:
                 rights.append(row[:, self.right])
         return out
 
-    def repair(self, goal: int, s: str) -> tuple[int, list[int]]:
-        """(cost, places) of the least edits that make ``s`` derive rule ``goal``; places run from 0 to ``len(s)``."""
+    def repair(self, s: str) -> tuple[int, list[int]]:
+        """(cost, places) of the least edits that make ``s`` derive the goal; places run from 0 to ``len(s)``."""
         table = self.chart(s)
-        goal += self.terminals
+        goal = self.terminals
         places: list[int] = []
         todo = [(goal, 0, len(s))]
         while todo:
@@ -185,7 +196,7 @@ class Repairer:
             y, spent = ways.pop()
             v = int(row[y])
             if y < self.terminals:
-                hit = next((p for p in range(i, i + size) if 2 * y in self.matches[s[p]]), None)
+                hit = next((p for p in range(i, i + size) if self._mask(s[p])[y]), None)
                 return spent + [p for p in range(i, i + size) if p != hit]
             if v == size and y in self.nothing:
                 return spent + list(range(i, i + size))
