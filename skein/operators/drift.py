@@ -10,6 +10,7 @@ form an alias table, from which :func:`consistent_table` generates its casts.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,11 +47,16 @@ def walk(value: object, path: str, out: dict[str, set[str]]) -> None:
             out.setdefault(p, set()).add(kind)
 
 
+def _no_constant(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
 def _read(raw: object) -> dict | None:
+    """The object on a line; None for lines that aren't JSON objects, ``NaN`` and its like included."""
     if not isinstance(raw, str):
         return None
     try:
-        v = json.loads(raw.lstrip("﻿"))
+        v = json.loads(raw.lstrip("\ufeff"), parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None
@@ -171,53 +177,189 @@ def changes(footer: DataFrame) -> DataFrame:
 
 
 def alias_table(change_log: DataFrame) -> DataFrame:
-    """(alias, field): every name a field was renamed to, with its first name, following chains.
+    """(alias, field): every name that takes part in a rename, with the least name of its connected set.
 
-    The log has one row per schema change, so its distinct renames are as many
-    as the producers' field names, not as their rows.
+    The renames are those of the log, told apart by field names only, so they are
+    as many as the producers' names, whatever the number of files; sets grow by
+    taking over the least name of a neighbour, jumping to that name's own, until
+    nothing changes.
     """
-    ren = materialize(change_log.where("change = 'renamed'").select("field", "new_field").distinct(), "aliases")
-    first = ren.select(F.col("new_field").alias("alias"), "field")
-    for _ in range(8):  # doubling: chains of up to 256 renames
-        step = first.select(F.col("alias").alias("_a"), F.col("field").alias("_f"))
-        first = first.join(step, F.col("field") == F.col("_a"), "left").select(
-            "alias", F.when(F.col("_f") != F.col("alias"), F.col("_f")).otherwise(F.col("field")).alias("field")
-        ).distinct()
-        first = materialize(first, "aliases")  # or each round would double the plan
-    return first.groupBy("alias").agg(F.min("field").alias("field"))
+    ren = change_log.where("change = 'renamed'").select("field", "new_field").distinct()
+    both = materialize(ren.unionByName(ren.select(F.col("new_field").alias("field"), F.col("field").alias("new_field"))), "renames")
+    label = materialize(both.groupBy("field").agg(F.least(F.col("field"), F.min("new_field")).alias("low")), "aliases")
+    while True:
+        near = both.join(label.withColumnRenamed("field", "new_field"), "new_field").groupBy("field").agg(F.min("low").alias("near"))
+        step = label.join(near, "field").select("field", F.least("low", "near").alias("low"), F.col("low").alias("was"))
+        far = step.select(F.col("field").alias("_f"), F.col("low").alias("_l"))
+        grown = materialize(step.join(far, F.col("low") == F.col("_f"), "left").select("field", F.least("low", "_l").alias("low"), "was"), "aliases")
+        label = grown.select("field", "low")
+        if grown.where("low <> was").isEmpty():
+            return label.select(F.col("field").alias("alias"), F.col("low").alias("field"))
 
 
 SPARK_TYPES = {"string": "string", "integer": "bigint", "fraction": "double", "boolean": "boolean", "object": "string", "array": "string"}
 
 
+def one_names(known: dict[str, tuple], renames: list[tuple[str, str]]) -> dict[str, str]:
+    """Each field's one name: renamed fields share the one of least rank (ties: the least name).
+
+    Parents first: what lies below a renamed object goes by the object's one
+    name, and fields of one name below it are the same field.  ``files_of``
+    counts the files of each field; fields inside arrays aren't in it.
+    """
+    head = lambda f: f.rpartition(".")[0]
+    below: dict[str, set[str]] = {}
+    for old, new in renames:
+        below.setdefault(old, set()).add(new)
+        below.setdefault(new, set()).add(old)
+    named: dict[str, str] = {}
+    by_depth: dict[int, list[str]] = {}
+    for f in known:
+        by_depth.setdefault(f.count("."), []).append(f)
+    for depth in sorted(by_depth):
+        spelled: dict[str, list[str]] = {}
+        for f in sorted(by_depth[depth]):
+            parent = named.get(head(f), head(f))
+            spelled.setdefault(f"{parent}.{f.rpartition('.')[2]}" if parent else f, []).append(f)
+        own = {f: k for k, fs in spelled.items() for f in fs}
+        seen: set[str] = set()
+        for start in sorted(spelled):
+            if start in seen:
+                continue
+            group, todo = [], [start]
+            seen.add(start)
+            while todo:
+                k = todo.pop()
+                group.append(k)
+                for f in spelled[k]:
+                    for other in below.get(f, ()):
+                        o = own.get(other)
+                        if o is not None and o not in seen:
+                            seen.add(o)
+                            todo.append(o)
+            best = min(group, key=lambda k: (min(known[f] for f in spelled[k]), k))
+            named |= {f: best for k in group for f in spelled[k]}
+    return named
+
+
+def _columns_of(names: list[str]) -> list[str]:
+    """Column names: dots as underscores; what would clash, in whatever letter case, gets a number."""
+    taken, out = {"_file_name", "_line_no", "_rest"}, []
+    for name in names:
+        base = column = name.replace(".", "_") or "_"
+        k = 2
+        while column.lower() in taken:
+            column, k = f"{base}_{k}", k + 1
+        taken.add(column.lower())
+        out.append(column)
+    return out
+
+
+def _fits(v: object, kind: str) -> object:
+    """``v`` as a value of the column, None where it has no exact place there."""
+    if kind == "string":
+        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    if kind == "boolean":
+        return v if isinstance(v, bool) else None
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return None
+    if kind == "bigint":
+        return v if isinstance(v, int) and -(1 << 63) <= v < 1 << 63 else None
+    try:
+        return float(v) if isinstance(v, float) or int(float(v)) == v else None
+    except OverflowError:
+        return None
+
+
+def _filler(names: dict[str, str], spot: dict[str, int], kinds: list[str], columns: list[str]):
+    """Lines to rows: each readable line is parsed once and its values are laid into their columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep, cells, rest = [], [[] for _ in kinds], []
+            for no, (raw, apart) in enumerate(zip(b["raw"], b["apart"])):
+                top = _read(raw)
+                if top is None:
+                    continue
+                keep.append(no)
+                row: list = [None] * len(kinds)
+                left: dict[str, object] = {}
+                own = set() if apart is None else set(apart)
+                stack = [(x, k) for k, x in reversed(top.items())]
+                while stack:
+                    v, path = stack.pop()
+                    if v is None:
+                        continue
+                    if isinstance(v, dict):
+                        stack.extend((x, f"{path}.{k}" if path else k) for k, x in reversed(v.items()))
+                    name = names.get(path, path)
+                    at = spot.get(path if name in own else name)
+                    if at is None:
+                        if not isinstance(v, dict):
+                            left[path] = v
+                        continue
+                    value = _fits(v, kinds[at]) if row[at] is None else None
+                    if value is None:
+                        left[path] = v
+                    else:
+                        row[at] = value
+                for cell, value in zip(cells, row):
+                    cell.append(value)
+                rest.append(json.dumps(left, ensure_ascii=False, separators=(",", ":")) if left else None)
+            out = {"_file_name": b["file_name"].iloc[keep].to_numpy(), "_line_no": b["line_no"].iloc[keep].to_numpy()}
+            for column, kind, cell in zip(columns, kinds, cells):
+                out[column] = pd.array(cell, dtype={"bigint": "Int64", "double": "Float64", "boolean": "boolean"}.get(kind, "object"))
+            yield pd.DataFrame(out | {"_rest": pd.array(rest, dtype="object")})
+
+    return run
+
+
 def consistent_table(lines: DataFrame, footer: DataFrame, change_log: DataFrame) -> DataFrame:
-    """Every readable line as one row of one schema.
-
-    The columns are the leaf fields outside arrays under their first names,
-    with dots as underscores, and arrays as JSON text; several types of one
-    field widen (integer to fraction, anything else to string).  A field that is
-    an object in some files only is a string column, too, which holds those
-    objects as JSON text, beside the columns of their leaves.  A value that
-    can't be cast is null.  Only the catalogue (one row per field) reaches the
-    driver: it is the schema.
+    """Every readable line as one row of one schema, with every value it holds.
+
+    The columns are the leaf fields outside arrays, with dots as underscores, and
+    arrays as JSON text.  Fields renamed into each other, whatever the way, are
+    one column under the name with the lowest file number (ties: the name in most
+    files, then the least); in a feed where two of them stand in one file they are different
+    fields and keep columns of their own.  Several types of one field widen
+    (integer to fraction, anything else to string); a field that is an object in
+    some files only is a string column, too, which holds those objects as JSON
+    text, beside the columns of their leaves.  ``_rest`` holds as JSON what has
+    no exact place: numbers beyond the type, and a second value of one path
+    (names that hold dots).  Lines are read as for the footers: a byte order mark
+    doesn't count, of a repeated key the last value.  Only the catalogue reaches
+    the driver: one row per field and per distinct rename.
     """
-    names = alias_table(change_log)
-    cat = (
-        footer.where("field <> '' and not contains(field, '[]')")
-        .join(names, footer["field"] == names["alias"], "left")
-        .select(F.coalesce(names["field"], footer["field"]).alias("base"), footer["field"].alias("spelled"), "kind")
-        .groupBy("base")
-        .agg(F.array_sort(F.collect_set("spelled")).alias("spellings"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-        .where("kinds <> array('object')")
-        .orderBy("base")
-        .collect()
-    )
-    cols = []
+    spark = lines.sparkSession
+    plain = footer.where("field <> '' and not contains(field, '[]')")
+    cat = plain.groupBy("field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.coalesce(F.min("file_seq"), F.lit(0)).alias("first"), F.count_distinct("file_name").alias("n")).collect()
+    renames = [tuple(r) for r in change_log.where("change = 'renamed' and not contains(field, '[]')").select("field", "new_field").distinct().collect()]
+    names = one_names({r["field"]: (r["first"], -r["n"]) for r in cat}, renames)
+    members = Counter(names.values())
+    moved = [(f, n) for f, n in names.items() if members[n] > 1]
+    rows = lines.select("file_name", "line_no", "raw", "feed")
+    split: set[str] = set()
+    if moved:
+        sets = spark.createDataFrame(moved, "field string, name string")
+        apart = (
+            plain.select("feed", "file_name", "field").distinct().join(F.broadcast(sets), "field")
+            .groupBy("feed", "file_name", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            .groupBy("feed").agg(F.collect_set("name").alias("apart"))
+        )
+        apart = materialize(apart, "apart")
+        split = {r[0] for r in apart.select(F.explode("apart")).distinct().collect()}
+        rows = rows.join(apart.withColumnRenamed("feed", "_feed"), F.col("feed").eqNullSafe(F.col("_feed")), "left")
+    else:
+        rows = rows.withColumn("apart", F.lit(None).cast("array<string>"))
+    kinds_of: dict[str, set[str]] = {}
     for r in cat:
-        kinds = set(r["kinds"])
-        kind = SPARK_TYPES[kinds.pop()] if len(kinds) == 1 else "double" if kinds == {"integer", "fraction"} else "string"
-        names_of = [r["base"], *(s for s in r["spellings"] if s != r["base"])]
-        values = [F.get_json_object("raw", "$." + s) for s in names_of]
-        cols.append(F.coalesce(*values).try_cast(kind).alias(r["base"].replace(".", "_")))
-    good = lines.withColumn("_v", F.try_parse_json("raw")).where(F.expr("schema_of_variant(_v) like 'OBJECT%'"))
-    return good.select(F.col("file_name").alias("_file_name"), F.col("line_no").alias("_line_no"), *cols)
+        for name in {names[r["field"]], *([r["field"]] if names[r["field"]] in split else [])}:
+            kinds_of.setdefault(name, set()).update(r["kinds"])
+    order = sorted(n for n, k in kinds_of.items() if k != {"object"})
+    kinds = []
+    for n in order:
+        k = kinds_of[n]
+        kinds.append(SPARK_TYPES[next(iter(k))] if len(k) == 1 else "double" if k == {"integer", "fraction"} else "string")
+    columns = _columns_of(order)
+    schema = ", ".join(["_file_name string", "_line_no int", *(f"`{c.replace('`', '``')}` {k}" for c, k in zip(columns, kinds)), "_rest string"])
+    return spread(rows.select("file_name", F.col("line_no").cast("int"), "raw", "apart")).mapInPandas(_filler(names, {n: i for i, n in enumerate(order)}, kinds, columns), schema)

@@ -29,6 +29,17 @@ def p3_table(spark, d):
     return drift.consistent_table(lines, foot, log)
 
 
+def p3_values(spark, d):
+    """Values of each line in the consistent table; objects kept as text beside their leaves don't count."""
+    wide = p3_table(spark, d)
+    count = F.lit(0)
+    for c, kind in wide.dtypes:
+        if c not in ("_file_name", "_line_no", "_rest"):
+            held = F.col(f"`{c}`").isNotNull()
+            count = count + (held & ~F.col(f"`{c}`").startswith("{") if kind == "string" else held).cast("int")
+    return wide.select(F.col("_file_name").alias("file_name"), F.col("_line_no").alias("line_no"), count.alias("n_values"), F.col("_rest").isNotNull().alias("has_rest"))
+
+
 def p3_lifespans(spark, d):
     foot = drift.materialize(drift.footers(table(spark, d, "envelope_files")), "footers")
     return drift.lifespans(foot)
@@ -68,7 +79,7 @@ def p6_summaries(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_messages, p3_found, p3_table, p3_lifespans, p4_found, p4_rates,
+        p2_found, p2_messages, p3_found, p3_table, p3_values, p3_lifespans, p4_found, p4_rates,
         p5_found, p5_descendants, p6_found, p6_changes, p6_summaries,
     )
 }
@@ -162,8 +173,18 @@ union all select coalesce(a.file_name, b.file_name), case when a.field is null t
  case when a.field is not null and b.field is not null then b.field else '' end
 from (select * from g where new is null) a full join (select * from g where old is null) b on a.file_name = b.file_name and a.parent = b.parent and a.old = b.new and a.n = b.n"""
 
+_P3_VALUES = r"""select l.file_name, l.line_no, count(case when j.type not in ('NULL', 'OBJECT') and j.fullkey not like '%[%'
+  and not (j.type = 'VARCHAR' and j.atom::varchar like '"{%') then 1 end)::int as n_values, false as has_rest
+from (select *, row_number() over () as n from envelope_files where raw is not null and json_valid(raw) and json_type(raw) = 'OBJECT') l, json_tree(l.raw) j group by l.n, l.file_name, l.line_no"""
+
+_P3_LIFESPANS = _P3[: _P3.index("k as (")] + r"""f as (select file_name, feed, row_number() over (partition by feed order by file_seq, file_name) as no from (select distinct file_name, feed, file_seq from envelope_files)),
+s as (select feed, field, kind, no, no - row_number() over (partition by feed, field, kind order by no) as island from t join f using (file_name))
+select feed, field, kind, min(no)::int as first_no, max(no)::int as last_no from s group by feed, field, kind, island"""
+
 SQL = {
     "p3_found": _P3,
+    "p3_values": _P3_VALUES,
+    "p3_lifespans": _P3_LIFESPANS,
     "p2_found": _P2 + " select delivery_id from n where rn > 1",
     "p2_messages": _P2
     + """ select delivery_id, eventId, correlationId, timestamp, payload.runId as "runId" from event_envelopes
