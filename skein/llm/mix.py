@@ -97,7 +97,7 @@ def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 def copies(counts: DataFrame, sources: list[dict], seed: int = 1, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents in the mix.
 
-    ``counts`` has doc_id, source, n_tokens and a unique ``_u``; documents
+    ``counts`` has doc_id, source, n_tokens and a unique text ``_u``; documents
     without tokens aren't in it.
     """
     mean = F.lit(None).cast("double")
@@ -107,17 +107,17 @@ def copies(counts: DataFrame, sources: list[dict], seed: int = 1, block: int = B
         blocks = F.when(F.col("source") == r["source"], F.lit(-(-r["docs"] // block) or 1)).otherwise(blocks)
     base = counts.where("n_tokens > 0").withColumn("_mean", mean).where("_mean > 0")
     base = base.withColumn("_whole", F.floor(F.col("_mean") + EPS)).withColumn("p", F.greatest(F.col("_mean") - F.col("_whole"), F.lit(0.0)))
-    units = base.where(F.col("p") > EPS).select("_u", "source", "n_tokens", "p", F.pmod(F.xxhash64("_u"), blocks).alias("_block"))
-    layout = "_u long, source string, n_tokens long, p double"
+    units = base.where(F.col("p") > EPS).select("_u", F.xxhash64("_u").alias("_h"), "source", "n_tokens", "p").withColumn("_block", F.pmod("_h", blocks))
+    layout = "_u string, _h long, source string, n_tokens long, p double"
 
     def fly(last: bool):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_u", ignore_index=True)
+            pdf = pdf.sort_values(["_h", "_u"], ignore_index=True)
             size = [float(x) for x in pdf["n_tokens"]]
             rng = random.Random(f"{seed} {key}")
             p = flight(pdf["p"].tolist(), size, rng)
             pdf["p"] = land(p, rng) if last else p
-            return pdf[["_u", "source", "n_tokens", "p"]]
+            return pdf[["_u", "_h", "source", "n_tokens", "p"]]
 
         return run
 
@@ -132,18 +132,24 @@ def copies(counts: DataFrame, sources: list[dict], seed: int = 1, block: int = B
         settled.append(moved.where("p = 0 or p = 1"))
         # two units of a block at most go on
         most = -(-2 * most // block)
-        units = moved.where("p > 0 and p < 1").withColumn("_block", F.pmod(F.xxhash64("_u", F.lit(most)), F.lit(most)))
+        units = moved.where("p > 0 and p < 1").withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(most)), F.lit(most)))
     taken = settled[0]
     for s in settled[1:]:
         taken = taken.unionByName(s)
     taken = taken.where("p = 1").select(F.col("_u").alias("_t"))
-    out = base.join(taken, base["_u"] == taken["_t"], "left").withColumn("copies", (F.col("_whole") + F.col("_t").isNotNull().cast("int")).cast("int"))
+    # as many rows as the mix has fractional documents: never broadcast
+    out = base.join(taken.hint("merge"), base["_u"] == taken["_t"], "left").withColumn("copies", (F.col("_whole") + F.col("_t").isNotNull().cast("int")).cast("int"))
     return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
 def counted(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Token counts, written once, with a unique row number ``_u``."""
-    return materialize(token_counts(docs, ["doc_id", "source"], vocabulary).withColumn("_u", F.monotonically_increasing_id()), "counts")
+    """Token counts, written once, with a key ``_u`` of each row made of its content, whatever the partitions.
+
+    Rows equal in id, source and tokens are numbered among themselves.
+    """
+    plain = token_counts(docs, ["doc_id", "source"], vocabulary).groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("_n"))
+    rows = plain.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    return materialize(rows.withColumn("_u", F.to_json(F.struct("doc_id", "source", "n_tokens", "_k"))).drop("_k"), "counts")
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: int | None = None) -> DataFrame:

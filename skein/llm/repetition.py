@@ -115,6 +115,11 @@ def _common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, doc: np.ndar
     return out
 
 
+def _again(classes: np.ndarray) -> np.ndarray:
+    """Where a class stands that occurs more than once."""
+    return np.bincount(classes)[classes] > 1
+
+
 def repeated(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, covered, longest) of each text: word characters, those in later copies, words of the longest repeat."""
     kind_of, low, salt = _char_tables()
@@ -159,17 +164,24 @@ def repeated(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     earliest = np.zeros(len(first), bool)
     earliest[np.unique(key, return_index=True)[1]] = True
     cover |= ~earliest[unit]
-    # two rounds of doubling over all; documents without a repeated string of four words leave here
-    four = own
+    # two rounds of doubling over all; documents without a repeated string of four words leave here,
+    # with the longest of one to three words that they repeat
+    four, two = own, own
+    longest[doc[_again(own)]] = 1
     for size in (1, 2):
         nxt = np.full(n, -1, np.int64)
         if size < n:
             same = doc[:-size] == doc[size:]
             nxt[:-size][same] = four[size:][same]
         # a string cut off by the document's end is told apart by its place
-        four = pd.factorize(np.where(nxt < 0, -1 - np.arange(n), four * (n + 1) + nxt))[0].astype(np.int64)
+        two, four = four, pd.factorize(np.where(nxt < 0, -1 - np.arange(n), four * (n + 1) + nxt))[0].astype(np.int64)
+    longest[doc[_again(two)]] = 2
+    if n > 2:
+        whole = doc[2:] == doc[:-2]
+        three = np.where(whole, two[:-2] * (n + 1) + own[2:], -1 - np.arange(n - 2))
+        longest[doc[:-2][_again(pd.factorize(three)[0])]] = 3
     stay = np.zeros(m, bool)
-    stay[doc[np.bincount(four)[four] > 1]] = True
+    stay[doc[_again(four)]] = True
     if stay.any():
         at = np.flatnonzero(stay[doc])
         sub = doc[at]

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ LONG_WORD = 512
 CHUNK = 1 << 20
 #: Kept words of one Python worker; beyond it the table starts anew.
 KEPT_WORDS = 400_000
+#: Kept decisions on arcs of one Python worker; beyond it the table starts anew.
+KEPT_ARCS = 1_000_000
 
 LETTER, NUMBER, OTHER, SPACE, EDGE = 1, 2, 3, 4, 5
 
@@ -87,6 +90,8 @@ class MergeAutomaton:
         """Is there an arc ``b`` after ``a``: no merge crosses the seam while both its parts are alive."""
         known = self._allowed.get((a, b))
         if known is None:
+            if len(self._allowed) > KEPT_ARCS:
+                self._allowed.clear()
             known = self._allowed[a, b] = self._open(a, b)
         return known
 
@@ -339,13 +344,31 @@ def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = DEFAULT_VOC
 
 
 def decoded(ids: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, text): the arc labels of each id list, joined."""
+    """(doc_id, text): the arc labels of each id list, joined; a null list gives a null text.
+
+    Labels are taken and joined as whole columns; bytes that are no UTF-8, which
+    ids of texts never give, become replacement characters.
+    """
     shared = _broadcast(ids, vocabulary)
 
     def run(batches):
+        labels = shared.value.label
+        arcs = pa.array([labels.get(i) for i in range(max(labels) + 1)], pa.large_binary())
         for b in batches:
-            texts = [shared.value.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            lists = b.column(1)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            # the labels lie one after another: a text is a slice of them
+            spelled = arcs.take(lists.flatten()) if len(lists) else arcs[:0]
+            at = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1) if len(spelled) else np.zeros(1, np.int64)
+            bounds = at[np.append(0, np.cumsum(counts)).astype(np.int64)]
+            data = spelled.buffers()[2] if len(spelled) else pa.py_buffer(b"")
+            joined = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds.tobytes()), data])
+            joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.large_binary()))
+            try:
+                texts = joined.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["doc_id", "text"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

@@ -44,3 +44,6 @@ def test_shares_and_caps(spark, monkeypatch):
     out = mix.mix(df, t).collect()
     assert max(x["copies"] for x in out if x["source"] == "small") <= 3 and max(x["copies"] for x in out if x["source"] == "big") == 1
     assert mix.mix(df.where("false"), t).collect() == [] and mix.mix(df, t.where("false")).collect() == []
+    # the same documents whatever the partitions
+    key = lambda rows: sorted((x["doc_id"], x["n_tokens"], x["copies"]) for x in rows)
+    assert key(out) == key(mix.mix(df.repartition(7), t).collect())

@@ -68,3 +68,17 @@ def test_over_tables(spark, monkeypatch):
     got = sorted((r["doc_id"], round(r["share"], 2)) for r in repetition.document_repetition(df).collect())
     assert got == [(1, 0.0), (2, 0.67), (2, 0.67), (3, 0.0), (4, 0.0), (5, 0.0)]
     assert repetition.document_repetition(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_repeat_against_brute_force(seed):
+    r = random.Random(100 + seed)
+    toks = [f"t{r.randrange(r.choice([6, 30, 200]))}" for _ in range(40)]
+    want = max((k for k in range(len(toks)) if len({tuple(toks[i : i + k]) for i in range(len(toks) - k + 1)}) < len(toks) - k + 1), default=0)
+    assert share(" ".join(toks))[1] == want
+
+
+def test_short_longest_repeats():
+    assert share("alpha beta gamma x y alpha beta gamma z")[1] == 3
+    assert share("alpha beta x alpha beta")[1] == 2 and share("a b a")[1] == 1 and share("a b c")[1] == 0 and share("a")[1] == 0
+    assert list(repetition.repeated(["a b", "a b", "q a q"])[2]) == [0, 0, 1]

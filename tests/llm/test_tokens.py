@@ -79,3 +79,12 @@ def test_vocabulary_reader(tmp_path):
     p = tmp_path / "v"
     p.write_bytes(base64.b64encode(b"ab") + b" 7\n")
     assert tokens.read_ranks(str(p)) == {b"ab": 7}
+
+
+@pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_VOCABULARY), reason="no vocabulary files")
+def test_decoding_of_odd_lists(spark):
+    rows = [(1, []), (2, None), (3, [0, 1, 2]), (4, [200]), (3, [0])]
+    got = [(r["doc_id"], r["text"]) for r in tokens.decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()]
+    label = tokens.MergeAutomaton(tokens.read_ranks(tokens.DEFAULT_VOCABULARY)).label
+    text = lambda ids: b"".join(label[i] for i in ids).decode("utf-8", "replace")
+    assert sorted(got, key=repr) == sorted([(i, None if x is None else text(x)) for i, x in rows], key=repr)
