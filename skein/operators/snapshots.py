@@ -25,14 +25,18 @@ SALT = 16
 BROADCAST_SNAPSHOTS = 500_000
 
 
+HEX = "^([0-9a-f]{2})+$"
+
+
 def _digest(value: Column) -> Column:
     """A hash in half the room: its bytes where it is hexadecimal, marked apart from other texts."""
     h = canonical_hash(value)
-    return F.when(h.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit("x").cast("binary"), F.unhex(h))).otherwise(F.concat(F.lit("t").cast("binary"), h.cast("binary")))
+    return F.when(h.rlike(HEX), F.concat(F.lit("h").cast("binary"), F.unhex(h))).otherwise(F.concat(F.lit("t").cast("binary"), h.cast("binary")))
 
 
 def current_files(rows: DataFrame, hashed: bool = False) -> DataFrame:
-    """The last arrived row per repository, snapshot and path; equal arrival goes by the greatest hashes.
+    """The last arrived row per repository, snapshot and path; equal arrival goes by the greatest hashes
+    (texts that are no hexadecimal digits above those that are).
 
     Rows without repository, snapshot number or path describe no file and are
     left out.  With ``hashed`` the hashes are bytes, for comparing only.
@@ -46,8 +50,9 @@ def current_files(rows: DataFrame, hashed: bool = False) -> DataFrame:
         digest(F.col("symbol_graph_hash")).alias("symbol_graph_hash"),
         "arrived_at",
     ).where("repository is not null and snapshot_no is not null and file_path is not null")
+    text = lambda c: [] if hashed else [(~F.col(c).rlike(HEX)).alias("_t_" + c)]
     last = clean.repartition("repository", "file_path").groupBy("repository", "snapshot_no", "file_path").agg(
-        F.max(F.struct("arrived_at", "content_hash", "symbol_graph_hash")).alias("r")
+        F.max(F.struct("arrived_at", *text("content_hash"), "content_hash", *text("symbol_graph_hash"), "symbol_graph_hash")).alias("r")
     )
     return last.select("repository", "snapshot_no", "file_path", "r.content_hash", "r.symbol_graph_hash")
 
