@@ -5,53 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.labels import route_path, stable_id, versioned_hash
+from skein.functions.labels import route_path, versioned_hash
+from skein.functions.verdicts import auth_label as auth_type
+from skein.functions.words import operation_id, pascal, singular  # noqa: F401 - part of this module's surface
 from skein.operators.hierarchy import router_chains
 
 STRICT_DEPTH, LENIENT_DEPTH = 10, 15
 
-#: Irregular plurals.
-IRREGULAR = {"people": "person", "children": "child", "men": "man", "women": "woman", "data": "data", "status": "status", "news": "news", "series": "series", "analysis": "analysis"}
-
-
-def singular(word: Column) -> Column:
-    low = F.lower(word)
-    c = F.try_element_at(F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv)), low)
-    rule = (
-        F.when(low.rlike("[^aeiou]ies$"), F.regexp_replace(low, "ies$", "y")).when(low.rlike("(ss|us|is)$"), low).when(low.rlike("(x|z|ch|sh|ss|us)es$"), F.regexp_replace(low, "es$", "")).when(low.endswith("s"), F.regexp_replace(low, "s$", "")).otherwise(low)
-    )
-    return F.coalesce(c, rule)
-
-
-def pascal(word: Column) -> Column:
-    """Upper-case first letter of each part, tails kept."""
-    parts = F.filter(F.split(word, "[^A-Za-z0-9]+"), lambda x: x != "")
-    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))), "")
-
-
-def operation_id(method: Column, path: Column) -> Column:
-    """verb + nouns + By-parameters: ``GET /users/{id}`` is ``getUserById``, ``GET /users`` is ``listUsers``."""
-    segs = F.filter(F.split(route_path(path), "/"), lambda s: s != "")
-    nouns = F.filter(segs, lambda s: ~s.startswith("{"))
-    params = F.transform(F.filter(segs, lambda s: s.startswith("{")), lambda s: pascal(F.regexp_replace(s, r"[{}]", "")))
-    ends_param = F.coalesce(F.try_element_at(segs, F.lit(-1)).startswith("{"), F.lit(False))
-    verb = F.upper(method)
-    word = F.when((verb == "GET") & ~ends_param, "list").when(verb == "POST", "create").when(verb == "PUT", "update").when(verb == "PATCH", "patch").when(verb == "DELETE", "delete").otherwise(F.lower(method))
-    last = F.size(nouns)
-    many = (verb == "GET") & ~ends_param
-    names = F.transform(nouns, lambda s, i: pascal(F.when((i + 1 == last) & many, s).otherwise(singular(s))))
-    by = F.when(F.size(params) > 0, F.concat(F.lit("By"), F.array_join(params, "And"))).otherwise("")
-    return F.concat(word, F.array_join(names, ""), by)
-
-
-def auth_type(tokens: Column) -> Column:
-    """JWT with roles, JWT, session, roles or public, by parts of middleware names."""
-    has = lambda *ps: F.exists(tokens, lambda t: F.lower(t).rlike("|".join(ps)))
-    jwt, role, session = has("jwt", "token", "auth", "bearer"), has("role", "rbac", "permission", "admin"), has("session", "cookie", "passport")
-    c = F.when(jwt & role, "JWT+RBAC").when(jwt, "JWT").when(session, "Session").when(role, "RBAC").otherwise("Public")
-    return F.when(tokens.isNull(), "Public").otherwise(c)
-
-
 def mount_status(chains: DataFrame, max_depth: int = STRICT_DEPTH) -> DataFrame:
     """(repository, status, error): strict mode fails a repository with a mount cycle or a chain deeper than ``max_depth``."""
     g = chains.groupBy("repository").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
@@ -104,7 +64,3 @@ def coverage(routes: DataFrame, resolved: Column) -> DataFrame:
     g = routes.groupBy("repository").agg(F.count(F.lit(1)).alias("mounted_route_count"), F.count_if(resolved).alias("resolved_route_count"))
     ratio = F.when(F.col("mounted_route_count") > 0, F.col("resolved_route_count") / F.col("mounted_route_count")).otherwise(1.0)
     return g.withColumn("coverage_ratio", F.round(ratio, 2)).withColumn("coverage_percent", F.floor(ratio * 100).cast("int"))
-
-
-def finding_id(**fields: Column) -> Column:
-    return stable_id(**fields)

@@ -133,5 +133,5 @@ from o left join n on o.path = n.path and o.name = n.name and o.kind is not dist
     + """, a as (select repo, depth from ch union all select repo, -1 from bad)
 select repo as repository, case when min(depth) < 0 or max(depth) > 10 then 'FAILED' else 'OK' end as status,
  case when min(depth) < 0 then 'Router mount cycle detected' when max(depth) > 10 then 'Router mount depth exceeded' else '' end as error from a group by repo""",
-    "event_stream": """select case when eventId is null or length(trim(eventId)) < 8 then 'id' when eventVersion <> 1 then 'version' else 'accepted' end as outcome, eventType, count(*) as events from event_envelopes group by all""",
+    "event_stream": """select case when eventId is null or length(trim(eventId)) < 8 or correlationId is null or length(trim(correlationId)) < 8 then 'id' when eventVersion <> 1 then 'version' else 'accepted' end as outcome, eventType, count(*) as events from event_envelopes group by all""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import analysis_queries, fact_queries, pipeline_queries
+from skein.plans import analysis_queries, fact_queries, pipeline_queries, rule_queries
 
-MODULES = (analysis_queries, fact_queries, pipeline_queries)
+MODULES = (analysis_queries, fact_queries, pipeline_queries, rule_queries)
 
 
 def queries() -> dict:

@@ -100,8 +100,8 @@ def test_route_labels(spark):
     from pyspark.sql import functions as F
 
     got = [r[0] for r in df.select(routes.operation_id(F.col("m"), F.col("p"))).collect()]
-    assert got == ["listUsers", "getUserById", "createApiCategory", "deleteStatusItemByAAndB"]
-    auth = spark.createDataFrame([(["jwtCheck", "adminRole"],), (["cookie"],), ([],), (None,)], "t array<string>").select(routes.auth_type(F.col("t"))).collect()
+    assert got == ["getUsers", "getUserById", "createCategory", "deleteStatusItem"]
+    auth = spark.createDataFrame([(["jwtCheck", "adminRole"],), (["cookieSession"],), ([],), (None,)], "t array<string>").select(routes.auth_type(F.col("t"))).collect()
     assert [r[0] for r in auth] == ["JWT+RBAC", "Session", "Public", "Public"]
     ok = spark.createDataFrame([("/a/{id}",), ("/a//b",), ("a",), ("/{1x}",)], "p string").select(routes.valid_path(F.col("p"))).collect()
     assert [r[0] for r in ok] == [True, False, False, False]

@@ -38,18 +38,18 @@ def test_baselines(spark, tmp_path):
 
 def test_stream_gate_and_dedup(spark, tmp_path):
     schema = "eventId string, eventType string, eventVersion int, received_at timestamp_ntz, correlationId string, traceId string"
-    one = spark.sql("select 'aaaaaaaa-1111' as eventId, 'AnalysisFailed' as eventType, 1 as eventVersion, timestamp_ntz'2025-01-01 00:00:00' as received_at, 'c' as correlationId, 't' as traceId")
-    data = one.union(one).union(one.withColumn("eventId", F.lit("short"))).union(one.withColumn("eventType", F.lit("Other"))).union(one.withColumn("eventVersion", F.lit(2)))
+    one = spark.sql("select 'aaaaaaaa-1111' as eventId, 'AnalysisFailed' as eventType, 1 as eventVersion, timestamp_ntz'2025-01-01 00:00:00' as received_at, 'c-1234567' as correlationId, 't' as traceId")
+    data = one.union(one).union(one.withColumn("eventId", F.lit("short"))).union(one.withColumn("eventType", F.lit("Other"))).union(one.withColumn("eventVersion", F.lit(2))).union(one.withColumn("correlationId", F.lit("short")))
     data.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = envelopes.gate(envelopes.envelope_stream(spark, str(tmp_path / "in"), "*.parquet", one.schema))
     envelopes.route(s, str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 2
-    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["id", "type", "version"]
+    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["id", "id", "type", "version"]
     u = envelopes.unique_events(envelopes.gate(envelopes.envelope_stream(spark, str(tmp_path / "in"), "*.parquet", one.schema)).where("ok"))
     u.select("eventId").writeStream.format("parquet").option("path", str(tmp_path / "u")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.schema("eventId string").parquet(str(tmp_path / "u")).count() == 1
     made = envelopes.make_envelope(one.withColumn("runId", F.lit("r")), "Epic1Completed").collect()[0]
-    assert made["correlationId"] == "c" and made["payload"]["runId"] == "r" and len(made["eventId"]) == 36
+    assert made["correlationId"] == "c-1234567" and made["payload"]["runId"] == "r" and len(made["eventId"]) == 36
 
 
 def test_relational(spark):
