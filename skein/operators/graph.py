@@ -46,15 +46,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     spark = edges.sparkSession
     pairs = edges.select("src", "dst").distinct()
     start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
-    kept = Rounds(spark, "reach")
-    known = kept.cut(start)
-    fresh, depth = known, 0
+    # each round's news are written once; what is known is their union
+    kept = Rounds(spark, "reach", keep=1_000_000)
+    known = fresh = kept.cut(start)
+    depth = 0
     while (max_depth is None or depth < max_depth) and not fresh.isEmpty():
         depth += 1
         step = fresh.join(pairs, fresh["node"] == pairs["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        new = step.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        known = kept.cut(known.unionByName(new))
-        fresh = known.where(F.col("depth") == depth)
+        fresh = kept.cut(step.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = spark.read.schema(start.schema).parquet(*kept.paths)
     return known
 
 

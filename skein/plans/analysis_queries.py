@@ -5,68 +5,70 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import labels, paths
-from skein.operators import diff, graph, relational, snapshots
+from skein.operators import diff, graph, hierarchy, relational, semantic, snapshots
 from skein.plans.common import table
 from skein.storage import materialize
 
 
-def trade(spark, d):
-    """The nation trade graph: each customer nation's two busiest supplier nations."""
-    li, o = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    lines = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(s, F.col("l_suppkey") == s["s_suppkey"])
-    n = lines.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "dst"))), 1, 2).alias("t"))
-    return top.select("src", F.explode("t").alias("x")).select("src", F.col("x.dst").alias("dst"))
+def mount_graph(spark, d):
+    """(src, dst): every mount between two routers, each named by repository, file and symbol."""
+    links = hierarchy.router_links(table(spark, d, "router_mounts"))
+    name = lambda c: F.replace(c, F.lit(hierarchy.SEP), F.lit(":"))
+    return links.edges.select(name("parent").alias("src"), name("child").alias("dst")).distinct(), links.nodes.select(name("node").alias("node"))
 
 
-TRADE = """
-recursive_placeholder e0 as (
-  select c_nationkey as src, s_nationkey as dst, count(*) as n from lineitem join orders on l_orderkey = o_orderkey
-  join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all
-), e as (select src, dst from (select *, row_number() over (partition by src order by n desc, dst) as k from e0) where k <= 2)"""
-_WITH = "with" + TRADE.replace("recursive_placeholder", "")
-_RECURSIVE = "with recursive" + TRADE.replace("recursive_placeholder", "")
+_ROUTER = "repository || ':' || regexp_replace(regexp_replace(trim({0}.file_path), '[\\\\/]+', '/', 'g'), '^(\\./)+', '') || ':' || trim(coalesce({0}.router_symbol, ''))"
+MOUNTS = f"""
+raw as (select {_ROUTER.format("parent")} as p, {_ROUTER.format("child")} as c from router_mounts where repository is not null),
+e as (select distinct p as src, c as dst from raw where p is not null and c is not null),
+v as (select distinct node from (select p as node from raw union all select c from raw) where node is not null)"""
+_WITH = "with" + MOUNTS
+_RECURSIVE = "with recursive" + MOUNTS
 
 
-def _nations(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+def _graph(spark, d):
+    edges, nodes = mount_graph(spark, d)
+    return materialize(edges, "graph-edges"), materialize(nodes, "graph-nodes")
+
+
+def _tops(nodes, edges):
+    return nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
 def degree_metrics(spark, d):
-    return graph.degree_metrics(_nations(spark, d), trade(spark, d))
+    edges, nodes = mount_graph(spark, d)
+    return graph.degree_metrics(nodes, edges)
 
 
 def adjacency_refs(spark, d):
-    return graph.references(trade(spark, d))
+    return graph.references(mount_graph(spark, d)[0])
 
 
 def reachability(spark, d):
-    edges = materialize(trade(spark, d), "trade")
-    return graph.reachable(edges, table(spark, d, "region").select(F.col("r_regionkey").alias("node")))
+    """What each router without parent reaches."""
+    edges, nodes = _graph(spark, d)
+    return graph.reachable(edges, _tops(nodes, edges))
 
 
 def entry_dead_nodes(spark, d):
-    """Entry nodes have no incoming edge; dead nodes can't be reached from an entry (or, without entries, from node 0)."""
-    edges, nodes = materialize(trade(spark, d), "trade"), _nations(spark, d)
-    entry = nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-    seeds = entry if not entry.isEmpty() else nodes.where("node = 0")
-    live = graph.reachable(edges, seeds).select("node").distinct().withColumn("live", F.lit(True))
-    mark = seeds.withColumn("entry", F.lit(True))
+    """Entry nodes have no incoming edge; dead nodes can't be reached from an entry."""
+    edges, nodes = _graph(spark, d)
+    entry = _tops(nodes, edges)
+    live = graph.reachable(edges, entry).select("node").distinct().withColumn("live", F.lit(True))
+    mark = entry.withColumn("entry", F.lit(True))
     return nodes.join(mark, "node", "left").join(live, "node", "left").select("node", F.coalesce("entry", F.lit(False)).alias("entry"), F.col("live").isNull().alias("dead"))
 
 
 def simple_paths(spark, d):
-    edges = materialize(trade(spark, d), "trade")
-    r = table(spark, d, "region")
-    got = graph.simple_paths(edges, _nations(spark, d).where("node = 0"), r.select((F.col("r_regionkey") + 10).alias("node")))
-    return got.select(F.array_join("path", ">").alias("path"))
+    """Paths of at most six mounts from a router without parent to one without child."""
+    edges, nodes = _graph(spark, d)
+    ends = nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti")
+    return graph.simple_paths(edges, _tops(nodes, edges), ends).select(F.array_join("path", ">").alias("path"))
 
 
 def scc(spark, d):
-    edges = materialize(trade(spark, d), "trade")
-    return graph.components(edges, _nations(spark, d)).select("node", "component")
+    edges, nodes = _graph(spark, d)
+    return graph.components(edges, nodes).select("node", "component")
 
 
 def longest_depth(spark, d):
@@ -81,26 +83,24 @@ def longest_depth(spark, d):
 
 
 def edge_classification(spark, d):
-    """Edges between regions: internal within one, external across."""
-    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    e = trade(spark, d).join(n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("a")), "src").join(n.select(F.col("n_nationkey").alias("dst"), F.col("n_regionkey").alias("b")), "dst")
+    """Mounts between directories: internal within one, external across."""
+    folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
+    e = mount_graph(spark, d)[0].select(folder("src").alias("a"), folder("dst").alias("b"))
     return e.groupBy("a", "b").agg(F.count(F.lit(1)).alias("edges")).select("a", "b", F.when(F.col("a") == F.col("b"), "internal").otherwise("external").alias("type"), "edges")
 
 
 def hash_propagation(spark, d):
-    """Dependents of changed nodes: nations whose suppliers' balance sum is negative are changed."""
-    edges = materialize(trade(spark, d), "trade")
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("node")).agg(F.min("s_acctbal").alias("b")).where("b < 0").select("node")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hit = graph.reachable(back, s).where("depth > 0 and seed <> node")
-    return hit.groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("chain"))
+    """Routers above each one that more than one router mounts, as a change of it reaches them."""
+    edges, nodes = _graph(spark, d)
+    changed = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    hit = semantic.dependents(changed, edges, F.col("node")).where(F.size("chain") > 0)
+    return hit.select(F.col("symbol").alias("seed"), F.array_join("chain", ",").alias("chain"))
 
 
 def impact_score(spark, d):
-    """Blast radius and depth from each region's first nation."""
-    edges = materialize(trade(spark, d), "trade")
-    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("node"))
-    got = graph.reachable(edges, n.select("node"))
+    """Blast radius and depth from each router without parent."""
+    edges, nodes = _graph(spark, d)
+    got = graph.reachable(edges, _tops(nodes, edges))
     return got.groupBy("seed").agg(F.count(F.lit(1)).alias("radius"), F.max("depth").alias("depth"), (F.lit(2) * F.count(F.lit(1)) + F.max("depth")).alias("score"))
 
 
@@ -190,20 +190,21 @@ def schema_diff(spark, d):
     return found.select("entity", "field", "change", "severity", "detail", "id")
 
 
-def enum_removed(spark, d):
-    """Event types of each user that the second half of the events lacks."""
-    e = table(spark, d, "events").where("value > 100")
+def _event_sets(spark, d):
+    """Event types of each user and hour of the day, before and after the middle of the events."""
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    g = e.groupBy("user_id").agg(F.collect_set(F.when(F.col("ts") < cut, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("ts") >= cut, F.col("event_type"))).alias("b"))
-    return g.select("user_id", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("removed")).where("removed <> ''")
+    e = table(spark, d, "events").select("user_id", F.hour("ts").alias("hour"), "event_type", (F.col("ts") < cut).alias("early"))
+    both = e.groupBy("user_id", "hour").agg(F.collect_set(F.when(F.col("early"), F.col("event_type"))).alias("a"), F.collect_set(F.when(~F.col("early"), F.col("event_type"))).alias("b"))
+    return both.select("user_id", "hour", F.array_sort("a").alias("a"), F.array_sort("b").alias("b"))
+
+
+def enum_removed(spark, d):
+    """Event types of each user and hour that the second half of the events lacks."""
+    return _event_sets(spark, d).select("user_id", "hour", F.array_join(F.array_except("a", "b"), ",").alias("removed")).where("removed <> ''")
 
 
 def method_set_change(spark, d):
-    e = table(spark, d, "events").where("value > 100")
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    s = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    g = e.groupBy("user_id").agg(s(F.when(F.col("ts") < cut, F.col("event_type"))).alias("old_set"), s(F.when(F.col("ts") >= cut, F.col("event_type"))).alias("new_set"))
-    return g.where("old_set <> new_set")
+    return _event_sets(spark, d).where("a <> b").select("user_id", "hour", F.array_join("a", ",").alias("old_set"), F.array_join("b", ",").alias("new_set"))
 
 
 def label_cascade(spark, d):
@@ -311,7 +312,8 @@ QUERIES = {
     )
 }
 
-_REACH = ", r as (select {seed} as seed, {seed} as node, 0 as depth from {frm} union select r.seed, e.dst, r.depth + 1 from r join e on r.node = e.src where r.depth < 30), q as (select seed, node, min(depth) as depth from r group by all)"
+_REACH = """, r as (select node as seed, node, 0 as depth from v where node not in (select dst from e) union select r.seed, e.dst, r.depth + 1 from r join e on r.node = e.src where r.depth < 60),
+q as (select seed, node, min(depth) as depth from r group by all)"""
 _RANK = "case severity when 'MAJOR' then 3 when 'MINOR' then 2 when 'PATCH' then 1 else 0 end"
 _SURFACE = f"""with s as (select repository, {_ROUTE.format("mount_path")} as path, coalesce(len(list_filter(middleware_tokens, lambda t: contains(lower(t), 'auth'))) > 0, false) as auth,
  child.router_symbol as handler, mount_id, observed_at, coalesce(middleware_tokens, []::varchar[]) as chain from router_mounts)"""
@@ -331,30 +333,32 @@ def _id(**f: str) -> str:
     return f"substr(sha256('{{' || {parts} || '}}'), 1, 16)"
 
 
+_SETS = """with s as (select user_id, hour(ts)::int as hour, coalesce(list_sort(list(distinct event_type) filter (ts < timestamp '2024-01-15')), []) as a,
+ coalesce(list_sort(list(distinct event_type) filter (ts >= timestamp '2024-01-15')), []) as b from events group by all)"""
+
 SQL = {
-    "degree_metrics": _WITH + """, d as (select n_nationkey as node, (select count(*) from e where dst = n_nationkey) as fan_in, (select count(*) from e where src = n_nationkey) as fan_out from nation)
+    "degree_metrics": _WITH + """, d as (select node, (select count(*) from e where dst = node) as fan_in, (select count(*) from e where src = node) as fan_out from v)
 select node, fan_in, fan_out, i as instability, round((fan_in + fan_out) / (n - 1), 2) as centrality, fan_in > 2 and i < 0.5 as core, fan_out > 5 as high_coupling, i >= 0.8 as unstable
-from (select d.*, case when fan_in + fan_out > 0 then round(fan_out / (fan_in + fan_out), 2) else 0.0 end as i, (select count(*) from nation) as n from d)""",
+from (select d.*, case when fan_in + fan_out > 0 then round(fan_out / (fan_in + fan_out), 2) else 0.0 end as i, (select count(*) from v) as n from d)""",
     "adjacency_refs": _WITH + """ select coalesce(a.symbol, b.symbol) as symbol, coalesce(calls, []) as calls, coalesce(called_by, []) as called_by
 from (select src as symbol, list_sort(list(distinct dst)) as calls from e group by src) a full join (select dst as symbol, list_sort(list(distinct src)) as called_by from e group by dst) b on a.symbol = b.symbol""",
-    "reachability": _RECURSIVE + _REACH.format(seed="r_regionkey", frm="region") + " select seed, node, depth from q",
-    "entry_dead_nodes": _RECURSIVE + """, n0 as (select n_nationkey as node from nation where n_nationkey not in (select dst from e)),
-s as (select node from n0 union all select 0 where not exists (select 1 from n0)),
-r as (select node from s union select e.dst from r join e on r.node = e.src)
-select n_nationkey as node, n_nationkey in (select node from s) as entry, n_nationkey not in (select node from r) as dead from nation""",
-    "simple_paths": _RECURSIVE + """, walk as (select [0] as path, 0 as cur, 0 as n union all
- select list_append(path, dst), dst, n + 1 from walk join e on e.src = walk.cur where n < 6 and (not list_contains(path, dst)) and (n = 0 or cur not in (10, 11, 12, 13, 14)))
-select array_to_string(path, '>') as path from walk where n > 0 and cur in (10, 11, 12, 13, 14)""",
-    "scc": _RECURSIVE + _REACH.format(seed="n_nationkey", frm="nation") + """ select n_nationkey as node, least(n_nationkey, (select min(a.node) from q a join q b on a.seed = b.node and a.node = b.seed where a.seed = n_nationkey)) as component from nation""",
+    "reachability": _RECURSIVE + _REACH + " select seed, node, depth from q",
+    "entry_dead_nodes": _RECURSIVE + """, r as (select node from v where node not in (select dst from e) union select e.dst from r join e on r.node = e.src)
+select node, node not in (select dst from e) as entry, node not in (select node from r) as dead from v""",
+    "simple_paths": _RECURSIVE + """, walk as (select [node] as path, node as cur, 0 as n from v where node not in (select dst from e) union all
+ select list_append(path, dst), dst, n + 1 from walk join e on e.src = walk.cur where n < 6 and not list_contains(path, dst))
+select array_to_string(path, '>') as path from walk where n > 0 and cur not in (select src from e)""",
+    "scc": _RECURSIVE + """, up as (select src, dst from e union select up.src, e.dst from up join e on up.dst = e.src)
+select v.node, least(v.node, coalesce((select min(a.dst) from up a join up b on a.dst = b.src and a.src = b.dst where a.src = v.node), v.node)) as component from v""",
     "longest_depth": """select 'c' || c_custkey as node, 0 as height from customer
 union all select 'n' || n_nationkey, case when n_nationkey in (select c_nationkey from customer) then 1 else 0 end from nation
 union all select 'r' || r_regionkey, coalesce((select max(case when n_nationkey in (select c_nationkey from customer) then 2 else 1 end) from nation where n_regionkey = r_regionkey), 0) from region""",
-    "edge_classification": _WITH + """ select a.n_regionkey as a, b.n_regionkey as b, case when a.n_regionkey = b.n_regionkey then 'internal' else 'external' end as type, count(*) as edges
-from e join nation a on a.n_nationkey = src join nation b on b.n_nationkey = dst group by all""",
-    "hash_propagation": _RECURSIVE + """, c as (select s_nationkey as seed from supplier group by 1 having min(s_acctbal) < 0),
+    "edge_classification": _WITH + """ select regexp_extract(src, '^(.*)/[^/]*$', 1) as a, regexp_extract(dst, '^(.*)/[^/]*$', 1) as b,
+case when regexp_extract(src, '^(.*)/[^/]*$', 1) = regexp_extract(dst, '^(.*)/[^/]*$', 1) then 'internal' else 'external' end as type, count(*) as edges from e group by all""",
+    "hash_propagation": _RECURSIVE + """, c as (select dst as seed from e group by 1 having count(*) > 1),
 r as (select seed, seed as node from c union select r.seed, e.src from r join e on e.dst = r.node)
 select seed, array_to_string(list_sort(list(distinct node)), ',') as chain from r where seed <> node group by seed""",
-    "impact_score": _RECURSIVE + ", f as (select min(n_nationkey) as k from nation group by n_regionkey)" + _REACH.format(seed="k", frm="f") + " select seed, count(*) as radius, max(depth) as depth, 2 * count(*) + max(depth) as score from q group by seed",
+    "impact_score": _RECURSIVE + _REACH + " select seed, count(*) as radius, max(depth) as depth, 2 * count(*) + max(depth) as score from q group by seed",
     "endpoint_normalise": f"""select mount_path, p as path, array_to_string(list_sort(list_distinct(regexp_extract_all(p, '\\{{([A-Za-z_][A-Za-z0-9_]*)\\}}', 1))), ',') as params, sha256('v1|GET|' || p) as hash
 from (select mount_path, {_ROUTE.format("mount_path")} as p from (select distinct mount_path from router_mounts where mount_path is not null))""",
     "api_surface_merge": _SURFACE + " select repository, path, bool_or(auth) as auth, arg_min(handler, mount_id) as handler, count(*) as mounts from s group by repository, path",
@@ -377,10 +381,8 @@ x as (select coalesce(a.entity, b.entity) as entity, coalesce(a.field, b.field)
  case when a.field is null and not b.required then 'MINOR' else 'MAJOR' end as severity, case when a.field is null then case when b.required then 'required' else 'optional' end when b.field is null then '' else a.type || ' -> ' || b.type end as detail
  from a full join b on a.entity = b.entity and a.field = b.field)
 select entity, field, change, severity, detail, {_id(entity="entity", field="field", change="change", severity="severity", detail="detail")} as id from x where change is not null""",
-    "enum_removed": """select user_id, array_to_string(list_sort(list_filter(a, lambda t: not list_contains(b, t))), ',') as removed from (select user_id, coalesce(list(distinct event_type) filter (ts < timestamp '2024-01-15'), []) as a,
- coalesce(list(distinct event_type) filter (ts >= timestamp '2024-01-15'), []) as b from events where value > 100 group by user_id) where len(list_filter(a, lambda t: not list_contains(b, t))) > 0""",
-    "method_set_change": """select * from (select user_id, coalesce(array_to_string(list_sort(list(distinct event_type) filter (ts < timestamp '2024-01-15')), ','), '') as old_set,
- coalesce(array_to_string(list_sort(list(distinct event_type) filter (ts >= timestamp '2024-01-15')), ','), '') as new_set from events where value > 100 group by user_id) where old_set <> new_set""",
+    "enum_removed": _SETS + " select user_id, hour, array_to_string(list_filter(a, lambda t: not list_contains(b, t)), ',') as removed from s where len(list_filter(a, lambda t: not list_contains(b, t))) > 0",
+    "method_set_change": _SETS + " select user_id, hour, array_to_string(a, ',') as old_set, array_to_string(b, ',') as new_set from s where a <> b",
     "label_cascade": f"select {_CATEGORY} as category, {_LAYER} as layer, count(*) as files from (select file_path, replace(lower(file_path), '\\', '/') as low, lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) as ext from documents where file_path is not null) group by all",
     "pattern_tags": f"select tag, count(*) as files, min(doc_id) as first_doc from ({_TAGS}) group by tag",
     "severity_rollup": f"""select project_id, count(*) filter (severity = 'MAJOR') as major, count(*) filter (severity = 'MINOR') as minor, count(*) filter (severity = 'PATCH') as patch,

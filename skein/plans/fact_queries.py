@@ -96,22 +96,26 @@ def event_stream(spark, d):
 
 def event_stream_unique(spark, d):
     """Distinct events of a stream by id, counted by type."""
-    one = envelopes.unique_events(envelopes.gate(_stream(spark, d)).where("ok"), delay="400 days")
+    one = envelopes.unique_events(envelopes.gate(_stream(spark, d)).where("ok"), delay="30 days")
     out, state = fresh_path(spark, "unique"), fresh_path(spark, "stream")
     one.select("eventType").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("eventType string").parquet(out).groupBy("eventType").agg(F.count(F.lit(1)).alias("events"))
 
 
 def symbol_breaks(spark, d):
-    """Recorded symbols of each repository before and after the middle of 2025; calls weigh nothing here."""
-    a = table(spark, d, "ast_records").select("repository", F.coalesce(F.col("analyzed_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False)).alias("early"), F.explode("symbols").alias("s")).where("s.name is not null")
+    """Recorded symbols of each repository before and after the middle of 2025; a class's edges lead to the functions of its record, functions with a capital inside are public."""
+    a = table(spark, d, "ast_records").select("doc_id", F.coalesce("repository", F.lit("")).alias("path"), F.coalesce(F.col("analyzed_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(False)).alias("early"), F.explode("symbols").alias("s")).where("s.name is not null")
+    shown = F.when((F.col("s.kind") == "class") | (F.length("s.symbol_id") % 2 == 1) | F.col("s.symbol_id").rlike("[0-7]$"), "public").otherwise("private")
 
     def side(rows):
-        key = [F.coalesce("repository", F.lit("")).alias("path"), F.col("s.name").alias("name"), F.col("s.kind").alias("kind")]
-        return rows.groupBy(*key).agg(F.min("s.symbol_id").alias("signature"), F.lit("public").alias("visibility"))
+        key = ["path", F.col("s.name").alias("name"), F.col("s.kind").alias("kind")]
+        return rows.groupBy(*key).agg(F.min("s.symbol_id").alias("signature"), F.max(shown).alias("visibility"))
 
-    none = spark.createDataFrame([], "src string, dst string")
-    return semantic.symbol_breaks(side(a.where("early")), side(a.where("not early")), none).select("path", "name", "kind", "change", "severity", "score")
+    top, inner = a.where("s.kind = 'class'"), a.where("s.kind = 'function'")
+    name = lambda x: F.concat_ws(":", x["path"], x["s"]["name"])
+    t, i = top.select("doc_id", name(top).alias("src")), inner.select("doc_id", name(inner).alias("dst"))
+    edges = t.join(i, "doc_id").select("src", "dst")
+    return semantic.symbol_breaks(side(a.where("early")), side(a.where("not early")), edges).select("path", "name", "kind", "change", "severity", "score")
 
 
 def type_hashes(spark, d):
@@ -124,11 +128,16 @@ QUERIES = {
 }
 
 SQL = {
-    "symbol_breaks": """with a as (select coalesce(repository, '') as path, coalesce(analyzed_at < timestamp '2025-07-01', false) as early, unnest(symbols) as s from ast_records),
-f as (select path, early, s.name as name, s.kind as kind, min(s.symbol_id) as g from a where s.name is not null group by all),
-o as (select * from f where early), n as (select * from f where not early)
-select o.path, o.name, o.kind, case when n.path is null then 'SYMBOL_REMOVED' else 'SIGNATURE_CHANGED' end as change, 'MAJOR' as severity, 8.0::double as score
-from o left join n on o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind where n.path is null or o.g is distinct from n.g""",
+    "symbol_breaks": """with a as (select doc_id, coalesce(repository, '') as path, coalesce(analyzed_at < timestamp '2025-07-01', false) as early, unnest(symbols) as s from ast_records),
+b as (select *, case when s.kind = 'class' or length(s.symbol_id) % 2 = 1 or regexp_matches(s.symbol_id, '[0-7]$') then 'public' else 'private' end as vis from a where s.name is not null),
+f as (select path, early, s.name as name, s.kind as kind, min(s.symbol_id) as g, max(vis) as vis from b group by all),
+d as (select x.path || ':' || x.s.name as sym, count(distinct y.path || ':' || y.s.name) as deg from b x join b y using (doc_id) where x.s.kind = 'class' and y.s.kind = 'function' group by 1),
+o as (select * from f where early), n as (select * from f where not early),
+h as (select o.path, o.name, o.kind, 'SYMBOL_REMOVED' as change, o.vis = 'public' as pub from o where not exists (select 1 from n where o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind)
+ union all select o.path, o.name, o.kind, 'SIGNATURE_CHANGED', o.vis = 'public' from o join n on o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind where o.g is distinct from n.g
+ union all select o.path, o.name, o.kind, 'VISIBILITY_DOWNGRADED', true from o join n on o.path = n.path and o.name = n.name and o.kind is not distinct from n.kind where o.vis = 'public' and n.vis <> 'public'),
+z as (select h.*, 6.0::double + 0.5 * coalesce(deg, 0) + case when pub then 2 else 0 end as score from h left join d on d.sym = h.path || ':' || h.name)
+select path, name, kind, change, case when score >= 8 then 'MAJOR' when score >= 4 then 'MINOR' else 'PATCH' end as severity, score from z""",
     "mount_status": _P5
     + """, a as (select repo, depth from ch union all select repo, -1 from bad)
 select repo as repository, case when min(depth) < 0 or max(depth) > 10 then 'FAILED' else 'OK' end as status,

@@ -18,7 +18,7 @@ HOST = "git.example.test"
 def operation_ids(spark, d):
     """Names of every mounted path and every pair of paths of one repository, for each method."""
     m = table(spark, d, "router_mounts").where("mount_path is not null").select("repository", "child.file_path", "mount_path", F.explode(F.array(*map(F.lit, METHODS))).alias("method"))
-    ends = m.groupBy("repository", "method").agg(F.min("mount_path").alias("a"), F.max("mount_path").alias("b"))
+    ends = m.groupBy("repository", "method").agg(F.min(F.trim("mount_path")).alias("a"), F.max(F.trim("mount_path")).alias("b"))
     longer = ends.select("method", F.explode(F.array(F.concat("a", F.lit("/"), "b"), F.concat("b", F.lit("/:rowId/"), "a"), F.concat("b", F.lit("/:rowId/"), "a", F.lit("/:cellId")))).alias("p"))
     p = m.select("method", F.col("mount_path").alias("p")).unionByName(longer).select("method", labels.route_path(F.col("p")).alias("path")).distinct()
     name = words.operation_id(F.col("method"), F.col("path"))
@@ -194,7 +194,7 @@ def finding_positions(spark, d):
         F.coalesce("b.id", F.lit("")).alias("endpoint"), F.coalesce("b.id", F.lit("")).alias("entity"), F.coalesce("b.source", F.lit("")).alias("field"), F.coalesce("b.id", F.lit("")).alias("name"),
         F.greatest(F.coalesce(F.size("b.affected_symbols"), F.lit(0)), F.lit(0)).alias("score"),
     )
-    at = lambda order: F.row_number().over(Window.partitionBy("project_id").orderBy(*order))
+    at = lambda order: F.rank().over(Window.partitionBy("project_id").orderBy(*order))
     places = [at(diff.finding_order(k)).alias(k) for k in diff.FINDING_ORDERS]
     return f.select("project_id", "id", *places, at(diff.name_order("change", "id")).alias("by_name"))
 
@@ -300,7 +300,7 @@ _PLURAL = _inflect("lower({0})", words.IRREGULAR_PLURAL, words.PLURAL_ENDINGS, "
 
 _OPERATIONS = f"""
 with m as (select repository, mount_path, unnest([{_quoted(METHODS)}]) as method from router_mounts where mount_path is not null),
-e as (select repository, method, min(mount_path) as a, max(mount_path) as b from m group by all),
+e as (select repository, method, min(trim(mount_path)) as a, max(trim(mount_path)) as b from m group by all),
 l as (select method, unnest([a || '/' || b, b || '/:rowId/' || a, b || '/:rowId/' || a || '/:cellId']) as p from e),
 p as (select distinct method, {_ROUTE.format("p")} as path from (select method, mount_path as p from m union all select * from l)),
 s as (select *, list_filter(string_split(path, '/'), lambda x: x <> '' and x <> 'api' and not regexp_full_match(x, 'v[0-9]+')) as g,
@@ -498,8 +498,8 @@ union all select k.repository, k.router_symbol, 'MIDDLEWARE_ORDER_CHANGED', '',
 _POSITIONS = f"""
 with f as (select project_id, report_id || '/' || strftime(ingested_at, '%Y-%m-%d %H:%M:%S') || rtrim(rtrim(strftime(ingested_at, '.%f'), '0'), '.') || '/' || pos as id, coalesce(b.severity, 'PATCH') as s, coalesce(b.source, '') as src, coalesce(b.id, '') as bid, coalesce(len(b.affected_symbols), 0) as n from {_CHANGES} where b is not null),
 r as (select *, case s when 'MAJOR' then 3 when 'MINOR' then 2 when 'PATCH' then 1 else 0 end as k from f)
-select project_id, id, row_number() over (partition by project_id order by k desc, bid, src, id) as api, row_number() over (partition by project_id order by k desc, bid, src, src, id) as schema,
- row_number() over (partition by project_id order by n desc, bid, id) as semantic, row_number() over (partition by project_id order by k desc, id) as hash, row_number() over (partition by project_id order by lower(src), src, id) as by_name from r"""
+select project_id, id, rank() over (partition by project_id order by k desc, bid, src, id) as api, rank() over (partition by project_id order by k desc, bid, src, src, id) as schema,
+ rank() over (partition by project_id order by n desc, bid, id) as semantic, rank() over (partition by project_id order by k desc, id) as hash, rank() over (partition by project_id order by lower(src), src, id) as by_name from r"""
 
 _SEEDS = """
 with b as (select distinct regexp_extract(mount_path, '^/([a-z]+)s$', 1) as base from router_mounts), n as (select distinct name from (select unnest(symbols).name as name from ast_records) where name is not null)
