@@ -70,14 +70,30 @@ def normalise(path: Column) -> Column:
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
-    """(repository, src, dst): calls from a function to functions defined once in the repository under the called name.
+    """(repository, src, dst): calls resolved to functions, the first that fits.
 
-    Callers are ``path:owner``; a name that several files define stays unresolved.
+    A call through ``this`` or ``self`` means a method of the caller's class in
+    its file; a plain or dotted one a function of the same file under the called
+    name, then the one function of the repository under that name.  A name that
+    several files define stays unresolved.  Callers are ``path:owner``.  All ways
+    are candidates with their place, joined once.
     """
-    defs = facts.where("kind in ('function', 'method')").select("repository", F.col("name").alias("leaf"), F.concat_ws(":", "path", "name").alias("dst"))
-    unique = defs.groupBy("repository", "leaf").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("dst")).where("n = 1").drop("n")
-    calls = facts.where("kind = 'call'").select("repository", F.concat_ws(":", "path", F.when(F.col("owner") == "", "module").otherwise(F.substring_index("owner", ".", -1))).alias("src"), F.substring_index("name", ".", -1).alias("leaf")).distinct()
-    return calls.join(unique, ["repository", "leaf"]).where("src <> dst").select("repository", "src", "dst").distinct()
+    leaf = lambda c: F.element_at(F.split(F.regexp_replace(c, r"\(\)$", ""), r"\."), -1)
+    defs = facts.where("kind in ('function', 'method')").select("repository", "path", F.col("name").alias("leaf"), "owner", F.concat_ws(":", "path", "name").alias("dst"))
+    own = defs.where("owner <> ''").groupBy("repository", "path", "owner", "leaf").agg(F.min("dst").alias("dst")).select(F.concat_ws("\x1f", F.lit("1"), "repository", "path", "owner", "leaf").alias("at"), "dst")
+    local = defs.groupBy("repository", "path", "leaf").agg(F.min("dst").alias("dst")).select(F.concat_ws("\x1f", F.lit("2"), "repository", "path", "leaf").alias("at"), "dst")
+    unique = defs.groupBy("repository", "leaf").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("dst")).where("n = 1").select(F.concat_ws("\x1f", F.lit("3"), "repository", "leaf").alias("at"), "dst")
+    owner = F.coalesce("owner", F.lit(""))
+    calls = facts.where("kind = 'call'").select(
+        "repository", "path", F.concat_ws(":", "path", F.when(owner == "", "module").otherwise(leaf(owner))).alias("src"), leaf("name").alias("leaf"),
+        F.when(F.col("name").rlike("^(this|self)\\.") & owner.contains("."), F.element_at(F.split(owner, r"\."), 1)).alias("class"),
+    ).distinct()
+    ways = F.array(
+        F.when(F.col("class").isNotNull(), F.concat_ws("\x1f", F.lit("1"), "repository", "path", "class", "leaf")), F.concat_ws("\x1f", F.lit("2"), "repository", "path", "leaf"), F.concat_ws("\x1f", F.lit("3"), "repository", "leaf")
+    )
+    tried = calls.select("repository", "src", "leaf", F.explode(ways).alias("at")).where("at is not null")
+    hit = tried.join(own.unionByName(local).unionByName(unique), "at").groupBy("repository", "src", "leaf").agg(F.min_by("dst", "at").alias("dst"))
+    return hit.where("src <> dst").select("repository", "src", "dst").distinct()
 
 
 def architecture(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ no shuffle; everything after extraction is relational.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import warnings
 from collections.abc import Iterator
@@ -94,6 +95,86 @@ def _names(text: str | None) -> Iterator[tuple[str, str]]:
             yield m.group(2) or m.group(1), m.group(1)
 
 
+_CHAIN_LINK = re.compile(r"\s*\.\s*(" + "|".join(VERBS) + r")\s*\(")
+_QUOTED = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`")
+_CALLED = re.compile(r"(?<![\w$.@])((?:new\s+)?[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\(")
+#: Words before a bracket that call nothing.
+NO_CALLS = frozenset("if for while switch catch return function typeof instanceof in of await do else case throw delete void super synchronized try func go defer range select map chan var import".split())
+_SCRIPT_SCOPE = re.compile(
+    r"\bclass\s+([A-Za-z_$][\w$]*)[^{}();]*\{|\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;\n]+)?=\s*(?:async\s+)?(?:function\b[^(]*)?\("
+    r"|(?m:^)[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*\("
+)
+_JAVA_SCOPE = re.compile(
+    r"\b(?:class|interface|enum|record)\s+(\w+)[^{};]*\{|(?m:^)[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^<>]*>\s+)?()(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+)?()(\w+)\s*\("
+)
+_GO_SCOPE = re.compile(r"(?m:^)()func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?()(\w+)\s*(?:\[[^\]]*\])?\(")
+
+
+def _braces(t: str) -> dict[int, int]:
+    """The place of the closing brace or bracket of each opening one."""
+    stack, close = [], {}
+    for m in re.finditer(r"[(){}]", t):
+        if m.group() in "({":
+            stack.append(m.start())
+        elif stack:
+            close[stack.pop()] = m.start()
+    return close
+
+
+def calls_within(t: str, scope: re.Pattern, receiver: bool = False) -> Iterator[Fact]:
+    """``method`` facts of class members and ``call`` facts with the function or ``Class.method`` around them.
+
+    ``t`` has neither comments nor strings.  Scopes are bodies in matched braces;
+    one linear pass keeps the open ones.
+    """
+    close = _braces(t)
+    bodies, defined = [], set()
+    for m in scope.finditer(t):
+        a, b, c, d = (m.group(i) if i <= m.re.groups else None for i in (1, 2, 3, 4))
+        if m.group().endswith("{"):
+            if m.end() - 1 in close:
+                bodies.append((m.end() - 1, close[m.end() - 1], "class", a))
+            continue
+        name, at = d or c or b, m.end() - 1
+        if name in NO_CALLS or at not in close:
+            continue
+        # after the arguments: a return type, an arrow or clauses, then the body
+        body = re.compile(r"[^(){};]*(?:\([^(){};]*\)[^(){};]*)?\{").match(t, close[at] + 1)
+        if body is None or "=" in body.group().replace("=>", ""):
+            continue
+        defined.add(m.start(len(m.groups()) if d else 3 if c else 2))
+        bodies.append((body.end() - 1, close.get(body.end() - 1, len(t)), "member" if d else "function", f"{b}.{name}" if receiver and b else name))
+    bodies.sort()
+    events = [(m.start(1), m) for m in _CALLED.finditer(t)]
+    open_, k = [], 0
+    lines = [m.start() for m in re.finditer("\n", t)]
+    line = lambda at: bisect.bisect_left(lines, at) + 1
+
+    def enter(until: int) -> Iterator[Fact]:
+        nonlocal k
+        while k < len(bodies) and bodies[k][0] < until:
+            begin, end, kind, name = bodies[k]
+            while open_ and open_[-1][0] <= begin:
+                open_.pop()
+            around = next((n for e, kd, n in reversed(open_) if kd == "class"), "")
+            if kind == "member" and around and open_ and open_[-1][1] == "class":
+                yield "method", name, around, "", line(begin)
+                name = f"{around}.{name}"
+            open_.append((end, kind, name))
+            k += 1
+
+    for at, m in events:
+        yield from enter(at)
+        while open_ and open_[-1][0] <= at:
+            open_.pop()
+        name = re.sub(r"\s+", "", re.sub(r"^new\s+", "", m.group(1)))
+        if name.split(".")[0] in NO_CALLS or at in defined:
+            continue
+        owner = next((n for e, kd, n in reversed(open_) if kd != "class"), next((n for e, kd, n in reversed(open_)), ""))
+        yield "call", name, owner, "", line(at)
+    yield from enter(len(t) + 1)
+
+
 def script_facts(text: str) -> Iterator[Fact]:
     t = without_comments(text)
     for m in _JS_FUNCTION.finditer(t):
@@ -125,8 +206,10 @@ def script_facts(text: str) -> Iterator[Fact]:
             for i, a in enumerate(args[1:-1]):
                 yield "middleware", a.split("(")[0], f"{owner} {path}", str(i), line
         elif verb == "route":
-            for v, at in re.findall(r"\.\s*(" + "|".join(VERBS) + r")\s*\(()", t[end : end + 400].split(";")[0]):
-                yield "endpoint", f"{v.upper()} {path}", owner, "", line
+            # the chain goes on from the end of each verb's arguments
+            while link := _CHAIN_LINK.match(t, end):
+                yield "endpoint", f"{link.group(1).upper()} {path}", owner, "", line
+                end = split_arguments(t, link.end() - 1)[1]
         elif path.startswith("/") and len(args) > 1:
             handler = args[-1] if re.fullmatch(r"[\w$.]+", args[-1]) else "inline"
             yield "endpoint", f"{verb.upper()} {path}", owner, handler, line
@@ -141,6 +224,7 @@ def script_facts(text: str) -> Iterator[Fact]:
             yield "decorator", word, "", arg, _line(t, m.start())
         else:
             yield "endpoint", f"{word.upper()} /{base}/{arg}".replace("//", "/").rstrip("/"), "controller", "", _line(t, m.start())
+    yield from calls_within(blank(t, _QUOTED), _SCRIPT_SCOPE)
     for m in _JS_FETCH.finditer(t):
         yield "api_call", m.group(1) or m.group(2), "", m.group(3) or "get", _line(t, m.start())
     for m in _JSX_ROUTE.finditer(t):
@@ -216,8 +300,8 @@ class _PythonVisitor(ast.NodeVisitor):
         if name.endswith(("include_router", "register_blueprint")) and node.args:
             prefix = next((k.value.value for k in node.keywords if k.arg in ("prefix", "url_prefix") and isinstance(k.value, ast.Constant)), "")
             self.add("mount", str(prefix), ast.unparse(node.args[0]), node.lineno)
-        if len(name) < 200 and "\n" not in name:
-            self.add("call", name, "", node.lineno)
+        if name:
+            self.add("call", re.sub(r"\s+", " ", name), "", node.lineno)
         self.generic_visit(node)
 
     def generic_visit(self, node):
@@ -254,6 +338,17 @@ _JAVA_FIELD = re.compile(r"(?m)^[ \t]*(?:(?:public|protected|private|static|fina
 _JAVA_IMPORT = re.compile(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;")
 
 
+_JAVA_CLASS_HEAD = re.compile(r"\s*(?:(?:public|final|abstract|sealed)\s+)*class\b")
+_JAVA_NEXT_NOTE = re.compile(r"\s*@[\w.]+\s*(\()?")
+
+
+def _after_annotations(t: str, at: int) -> int:
+    """The place behind all annotations that follow ``at``, however long their arguments."""
+    while m := _JAVA_NEXT_NOTE.match(t, at):
+        at = split_arguments(t, m.end() - 1)[1] if m.group(1) else m.end()
+    return at
+
+
 def java_facts(text: str) -> Iterator[Fact]:
     t = without_comments(text)
     owners = [(m.start(), m.group(2)) for m in _JAVA_TYPE.finditer(t)]
@@ -264,6 +359,11 @@ def java_facts(text: str) -> Iterator[Fact]:
         yield "import", m.group(1), "", "", _line(t, m.start())
     for m in _JAVA_METHOD.finditer(t):
         yield "method", m.group(3), owner(m.start()), m.group(2).strip(), _line(t, m.start())
+    named = {m.group(3) for m in _JAVA_METHOD.finditer(t)}
+    for kind, name, around, value, line in calls_within(blank(t, _QUOTED), _JAVA_SCOPE):
+        # members without a modifier and constructors
+        if kind == "call" or name not in named:
+            yield kind, name, around, value, line
     for m in _JAVA_FIELD.finditer(t):
         yield "model_field", m.group(2), owner(m.start()), m.group(1).strip(), _line(t, m.start())
     for m in _JAVA_NOTE.finditer(t):
@@ -272,8 +372,7 @@ def java_facts(text: str) -> Iterator[Fact]:
     for m in _JAVA_MAP.finditer(t):
         path = re.search(r"\"([^\"]*)\"", m.group(2) or "")
         path = path.group(1) if path else ""
-        after = t[m.end() : m.end() + 200]
-        if m.group(1) == "Request" and re.match(r"\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+|final\s+|abstract\s+)*class\b", after):
+        if m.group(1) == "Request" and _JAVA_CLASS_HEAD.match(t, _after_annotations(t, m.end())):
             base = path
             continue
         verb = m.group(1).upper() if m.group(1) != "Request" else (re.search(r"RequestMethod\.(\w+)", m.group(2) or "") or [0, "GET"])[1]
@@ -297,6 +396,9 @@ def go_facts(text: str) -> Iterator[Fact]:
             end = t.find("\n}", m.end())
             for f in _GO_FIELD.finditer(t[m.end() : end if end > 0 else len(t)]):
                 yield "model_field", f.group(1), m.group(1), f.group(2), _line(t, m.end() + f.start())
+    for fact in calls_within(blank(t, _QUOTED), _GO_SCOPE, receiver=True):
+        if fact[0] == "call":
+            yield fact
     head = t.split("\nfunc ", 1)[0]
     for m in _GO_IMPORT.finditer(head):
         yield "import", m.group(1), "", "", _line(t, m.start())

@@ -118,16 +118,34 @@ def symbol_breaks(spark, d):
     return semantic.symbol_breaks(side(a.where("early")), side(a.where("not early")), edges).select("path", "name", "kind", "change", "severity", "score")
 
 
+def recorded_calls(spark, d):
+    """Calls between analysed files: recorded functions are the definitions, names before a bracket in a text its calls."""
+    none = [F.lit("").alias("owner"), F.lit("").alias("value"), F.lit(0).alias("line")]
+    path = canonical_path(F.col("file_path")).alias("path")
+    a = table(spark, d, "ast_records").select("repository", path, F.explode("symbols").alias("s")).where("s.kind = 'function'")
+    defs = a.select("repository", "path", F.lit("function").alias("kind"), F.col("s.name").alias("name"), *none)
+    t = table(spark, d, "documents").where("source = 'source_code'").select("repository", path, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1))).alias("name"))
+    calls = t.select("repository", "path", F.lit("call").alias("kind"), "name", *none)
+    return evidence.call_edges(defs.unionByName(calls).where("repository is not null and path is not null and name is not null"))
+
+
 def type_hashes(spark, d):
     return semantic.type_hashes(_facts(spark, d))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (symbol_breaks, type_hashes, file_facts, symbol_ids, module_groups, api_surface, import_edges, call_edges, layer_edges, search_index, tech_stack, quality_warnings, route_candidates, mount_status, event_stream, event_stream_unique)
+    for f in (symbol_breaks, recorded_calls, type_hashes, file_facts, symbol_ids, module_groups, api_surface, import_edges, call_edges, layer_edges, search_index, tech_stack, quality_warnings, route_candidates, mount_status, event_stream, event_stream_unique)
 }
 
+_PATH = r"regexp_replace(regexp_replace(trim(file_path), '[\\/]+', '/', 'g'), '^(\./)+', '')"
+
 SQL = {
+    "recorded_calls": f"""with f as (select distinct repository, {_PATH} as path, s.name as leaf from (select repository, file_path, unnest(symbols) as s from ast_records) where s.kind = 'function' and s.name is not null and repository is not null and file_path is not null),
+c as (select distinct repository, {_PATH} as path, leaf from (select repository, file_path, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) as leaf from documents where source = 'source_code') where repository is not null and file_path is not null),
+u as (select repository, leaf, min(path) as path from f group by all having count(distinct path) = 1)
+select distinct c.repository, c.path || ':module' as src, coalesce(f.path, u.path) || ':' || c.leaf as dst from c left join f on f.repository = c.repository and f.path = c.path and f.leaf = c.leaf
+left join u on u.repository = c.repository and u.leaf = c.leaf where coalesce(f.path, u.path) is not null""",
     "symbol_breaks": """with a as (select doc_id, coalesce(repository, '') as path, coalesce(analyzed_at < timestamp '2025-07-01', false) as early, unnest(symbols) as s from ast_records),
 b as (select *, case when s.kind = 'class' or length(s.symbol_id) % 2 = 1 or regexp_matches(s.symbol_id, '[0-7]$') then 'public' else 'private' end as vis from a where s.name is not null),
 f as (select path, early, s.name as name, s.kind as kind, min(s.symbol_id) as g, max(vis) as vis from b group by all),

@@ -113,3 +113,50 @@ def test_mounted_routes(spark):
     got = {r["normalized_key"] for r in routes.resolve_routes(c, m, "strict").collect()}
     assert got == {"GET /api/projects/{id}", "PATCH /api/projects/{id}"}
     assert len(routes.resolve_routes(c, m).collect()) == 3
+
+
+def test_calls_with_their_owners():
+    js = """
+class Cart extends Base {
+  constructor(x) { super(x); this.total = sum(x); }
+  async pay(card) { if (card.ok()) { return this.charge(card); } log(`no ${card}`); }
+  charge(card) { return new Gateway().send(card) }
+}
+function sum(list) { return list.reduce((a, b) => add(a, b), 0); }
+const add = (a, b) => { return plus(a, b); };
+sum([1]);
+"""
+    got = {(f[0], f[1], f[2]) for f in extract.script_facts(js) if f[0] in ("call", "method")}
+    assert {("method", "constructor", "Cart"), ("method", "pay", "Cart"), ("method", "charge", "Cart")} <= got
+    assert {("call", "sum", "Cart.constructor"), ("call", "card.ok", "Cart.pay"), ("call", "this.charge", "Cart.pay"), ("call", "log", "Cart.pay"), ("call", "Gateway", "Cart.charge"), ("call", "list.reduce", "sum"), ("call", "add", "sum"), ("call", "plus", "add"), ("call", "sum", "")} <= got
+    assert not any(f[1] in ("if", "super", "function", "pay", "constructor") for f in got if f[0] == "call")
+    java = """
+public class Order {
+  Order(int n) { init(n); }
+  void init(int n) { for (int i = 0; i < n; i++) { store.save(new Line(i)); } }
+  public int total() { return this.sum("a(b)"); }
+}
+"""
+    got = {(f[0], f[1], f[2]) for f in extract.java_facts(java) if f[0] in ("call", "method")}
+    assert {("method", "Order", "Order"), ("method", "init", "Order"), ("method", "total", "Order"), ("call", "init", "Order.Order"), ("call", "store.save", "Order.init"), ("call", "Line", "Order.init"), ("call", "this.sum", "Order.total")} <= got
+    go = "package a\n\nfunc (s *Store) Save(x int) error {\n\treturn check(s.db.Put(x))\n}\n\nfunc check(e error) error { return wrap(e) }\n"
+    got = {(f[1], f[2]) for f in extract.go_facts(go) if f[0] == "call"}
+    assert got == {("check", "Store.Save"), ("s.db.Put", "Store.Save"), ("wrap", "check")}
+
+
+def test_route_chains_and_long_annotations():
+    js = "router.route('/x').get((req, res) => { const a = 1; " + "res.send(a); " * 60 + "}).post(auth, (q, r) => { r.end(); }).delete(del);\nother.put('/y', h);"
+    assert [f[1] for f in extract.script_facts(js) if f[0] == "endpoint"] == ["GET /x", "POST /x", "DELETE /x", "PUT /y"]
+    java = '@RequestMapping("/base")\n@Tag(name = "' + "x (y) " * 80 + '")\n@RestController\npublic class A {\n  @GetMapping("/z")\n  public int z() { return 1; }\n}\n'
+    assert [f[1] for f in extract.java_facts(java) if f[0] == "endpoint"] == ["GET /base/z"]
+
+
+def test_call_edges(spark):
+    from skein.operators import evidence
+
+    f = [
+        ("r", "a.js", "function", "run", "", "", 1), ("r", "a.js", "method", "go", "A", "", 2), ("r", "a.js", "method", "go", "B", "", 3), ("r", "b.js", "function", "run", "", "", 1), ("r", "b.js", "function", "only", "", "", 2),
+        ("r", "a.js", "call", "run", "main", "", 5), ("r", "a.js", "call", "this.go", "A.start", "", 6), ("r", "a.js", "call", "x.only", "", "", 7), ("r", "c.js", "call", "run", "z", "", 8), ("r", "c.js", "call", "nowhere", "z", "", 9), ("r", "b.js", "call", "only", "only", "", 9),
+    ]
+    df = spark.createDataFrame(f, "repository string, path string, kind string, name string, owner string, value string, line int")
+    assert rows(evidence.call_edges(df)) == [("r", "a.js:main", "a.js:run"), ("r", "a.js:module", "b.js:only"), ("r", "a.js:start", "a.js:go")]
