@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.storage import fresh_path
+from skein.storage import delete_path, fresh_path, path_exists
 
 
 def uuid_key(event_id: Column) -> Column:
@@ -30,18 +30,53 @@ def uuid_key(event_id: Column) -> Column:
 
 
 class RunStore:
-    """Hash-bucketed, sorted runs of messages; the least ``order`` of a key wins."""
+    """Hash-bucketed, sorted runs of messages; the least ``order`` of a key wins.
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None):
+    A store lives at ``path`` and can be opened again there, by another session
+    too: its schema and number of buckets stand beside it.  Upserts append runs,
+    :meth:`compact` reads one row of each key, :meth:`rewrite` leaves one sorted
+    run, :meth:`close` takes the table off the catalogue (plans made from it go
+    on), :meth:`drop` deletes the files.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None, path: str | None = None):
         self.spark, self.keys, self.order = spark, keys, order
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "skein_runs_" + uuid.uuid4().hex
-        self.path = fresh_path(spark, "runs")
-        self._written = False
+        self.path = path or fresh_path(spark, "runs")
+        self._written = path is not None and self._open()
 
     def upsert(self, rows: DataFrame, run: str) -> RunStore:
         """Add ``rows``; the column ``run`` tells which sorted run a row belongs to."""
-        runs = rows.groupBy(run, *self.keys).agg(F.min(self._ranked(rows.drop(run))).alias("_win"))
+        self._append(rows.groupBy(run, *self.keys).agg(F.min(self._ranked(rows.drop(run))).alias("_win")))
+        return self
+
+    def compact(self) -> DataFrame:
+        """One row per key: the key columns, the order columns and the other columns."""
+        return self._merged().select(*self.keys, "_win.*")
+
+    def rewrite(self) -> RunStore:
+        """The store with one run in place of all; a store elsewhere until the old one is dropped."""
+        one = RunStore(self.spark, self.keys, self.order, self.buckets)
+        one._append(self._merged())
+        return one
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def drop(self) -> None:
+        self.close()
+        for path in (self.path, self._about):
+            delete_path(self.spark, path)
+
+    @property
+    def _about(self) -> str:
+        return self.path.rstrip("/") + "-about"
+
+    def _merged(self) -> DataFrame:
+        return self.spark.table(self.name).groupBy(*self.keys).agg(F.min("_win").alias("_win"))
+
+    def _append(self, runs: DataFrame) -> None:
         out = (
             runs.repartition(self.buckets, *self.keys)
             .write.format("parquet")
@@ -52,13 +87,20 @@ class RunStore:
             out.mode("append").saveAsTable(self.name)
         else:
             out.option("path", self.path).saveAsTable(self.name)
-        self._written = True
-        return self
-
-    def compact(self) -> DataFrame:
-        """One row per key: the key columns, the order columns and ``_row``, the other columns."""
-        merged = self.spark.table(self.name).groupBy(*self.keys).agg(F.min("_win").alias("_win"))
-        return merged.select(*self.keys, "_win.*")
+            about = self.spark.createDataFrame([(self.spark.table(self.name).schema.json(), self.buckets)], "layout string, buckets int")
+            about.coalesce(1).write.mode("overwrite").json(self._about)
+            self._written = True
+
+    def _open(self) -> bool:
+        """Register the files at ``path`` again; False where nothing was written yet."""
+        if not path_exists(self.spark, self._about):
+            return False
+        about = self.spark.read.schema("layout string, buckets int").json(self._about).head()
+        self.buckets = about["buckets"]
+        columns = self.spark._jvm.org.apache.spark.sql.types.DataType.fromJson(about["layout"]).toDDL()
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return True
 
     def _ranked(self, rows: DataFrame) -> Column:
         """Order columns first (nulls last), then the remaining columns."""
@@ -95,6 +137,7 @@ def surplus_deliveries(
     ).where(F.col("_key").isNotNull())
     store = RunStore(rows.sparkSession, ["_key", "_corr"], ["_received", "_delivery"])
     kept = store.upsert(keyed, run="_batch_run").compact().select(F.col("_delivery").alias("_kept"))
+    store.close()
     # a delivery id is unique, so this join has no hot key
     return (
         keyed.select("_delivery")

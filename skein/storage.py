@@ -55,13 +55,23 @@ class Rounds:
         df.write.parquet(path)
         self.paths.append(path)
         while len(self.paths) > self.keep:
-            self._delete(self.paths.pop(0))
+            delete_path(self.spark, self.paths.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
 
 
 def spread(df: DataFrame) -> DataFrame:

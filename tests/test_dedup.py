@@ -56,3 +56,26 @@ def test_store_is_idempotent_over_batches(spark):
     once = rows(store.upsert(df, "run").compact().select("k", "o", "v"))
     again = rows(store.upsert(df, "run").compact().select("k", "o", "v"))
     assert once == again == [("j", 5, "only"), ("k", 1, "early")]
+
+
+def test_store_is_opened_again_and_rewritten(spark):
+    from skein.operators.dedup import RunStore
+
+    first = spark.createDataFrame([("k1", 5, "a", 0), ("k2", 3, "b", 0), ("k1", 4, "c", 1)], "k string, o int, v string, run int")
+    later = spark.createDataFrame([("k1", 2, "d", 2), ("k3", 1, "e", 2), ("k2", 9, "f", 2)], "k string, o int, v string, run int")
+    store = RunStore(spark, ["k"], ["o"], 3).upsert(first, "run")
+    store.close()
+    again = RunStore(spark, ["k"], ["o"], path=store.path)
+    again.upsert(later, "run").upsert(later, "run")
+    want = [("k1", 2, "d"), ("k2", 3, "b"), ("k3", 1, "e")]
+    got = lambda s: sorted((r["k"], r["o"], r["v"]) for r in s.compact().collect())
+    assert again.buckets == 3 and got(again) == want
+    plan = again.compact()
+    again.close()
+    assert plan.count() == 3 and not spark.catalog.tableExists(again.name)
+    third = RunStore(spark, ["k"], ["o"], path=store.path)
+    one = third.rewrite()
+    third.drop()
+    assert got(one) == want
+    one.drop()
+    assert not RunStore(spark, ["k"], ["o"], path=store.path)._written
