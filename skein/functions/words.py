@@ -108,13 +108,14 @@ def _operation_id(method: Column, segments: Column) -> Column:
 
 def strict_operation_id(name: Column) -> Column:
     """The name without words that repeat its verb or the word before: ``deleteRestaurantDelete`` is ``deleteRestaurant``."""
-    verb = F.regexp_extract(name, "^([a-z]+)", 1)
-    words = F.filter(F.regexp_extract_all(name, F.lit("([A-Z][a-z]*)"), 1), lambda w: F.lower(w) != verb)
-    kept = F.filter(words, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(words, i - 1))))
-    return (
-        F.when(F.coalesce(name, F.lit("")) == "", "getResource").when(verb == "", name)
-        .when(F.size(kept) == 0, F.concat(verb, F.lit("Resource"))).otherwise(F.concat(verb, F.array_join(kept, "")))
-    )
+    def strict(n: Column) -> Column:
+        verb = n["verb"]
+        words = F.filter(F.regexp_extract_all(n["name"], F.lit("([A-Z][a-z]*)"), 1), lambda w: F.lower(w) != verb)
+        kept = let(words, lambda ws: F.filter(ws, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(ws, i - 1)))))
+        joined = let(F.array_join(kept, ""), lambda j: F.when(j == "", "Resource").otherwise(j))
+        return F.when(n["name"] == "", "getResource").when(verb == "", n["name"]).otherwise(F.concat(verb, joined))
+
+    return let(let(F.coalesce(name, F.lit("")), lambda n: F.struct(n.alias("name"), F.regexp_extract(n, "^([a-z]+)", 1).alias("verb"))), strict)
 
 
 def route_summary(method: Column, path: Column) -> Column:
