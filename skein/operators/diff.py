@@ -247,11 +247,6 @@ def summary_totals(findings: DataFrame, by: list[str], score: str = "score") ->
     return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), of("MAJOR").alias("major"), of("MINOR").alias("minor"), of("PATCH").alias("patch"), F.round(F.sum(score), 3).alias("risk"))
 
 
-CHAIN_RULES = [
-    Rule("CHAIN_REMOVED", "MAJOR", REMOVED),
-    Rule("MIDDLEWARE_REMOVED", "MINOR", lambda o, n: both(o, n) & (F.size(F.array_except(o["chain"], n["chain"])) > 0), lambda o, n: F.array_join(F.array_sort(F.array_except(o["chain"], n["chain"])), ",")),
-    Rule("ORDER_CHANGED", "PATCH", lambda o, n: both(o, n) & (o["chain"] != n["chain"]) & (F.array_sort(o["chain"]) == F.array_sort(n["chain"]))),
-]
 HASH_RULES = [
     Rule("added", "MINOR", ADDED), Rule("deleted", "MAJOR", REMOVED),
     Rule("modified", "MAJOR", lambda o, n: both(o, n) & F.coalesce(o["hash"] != n["hash"], F.lit(False))),

@@ -146,16 +146,6 @@ def surface_diff(spark, d):
     return found.select("repository", "path", "change", "severity", "id")
 
 
-def chain_order_diff(spark, d):
-    """Middleware chains of each mounted router, first against last observation."""
-    s = _surface(table(spark, d, "router_mounts")).withColumn("chain", F.coalesce("middleware_tokens", F.expr("cast(array() as array<string>)")))
-    rank = F.struct("observed_at", "mount_id")
-    ends = s.groupBy("repository", "path", "handler").agg(F.min_by("chain", rank).alias("a"), F.max_by("chain", rank).alias("b"))
-    key = ["repository", "path", "handler"]
-    found = diff.snapshot_diff(ends.select(*key, F.col("a").alias("chain")), ends.select(*key, F.col("b").alias("chain")), key, diff.CHAIN_RULES)
-    return found.select(*key, "change", "severity", "detail")
-
-
 def incremental_diff(spark, d):
     """Files of each repository's last snapshot against its first, counted by change."""
     files = materialize(snapshots.current_files(table(spark, d, "file_snapshots")), "files")
@@ -306,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         degree_metrics, adjacency_refs, reachability, entry_dead_nodes, simple_paths, scc, longest_depth, edge_classification, hash_propagation, impact_score, endpoint_normalise,
-        api_surface_merge, operation_id_dedup, priority_resolve, surface_diff, chain_order_diff, incremental_diff, previous_snapshot, schema_diff, enum_removed, method_set_change,
+        api_surface_merge, operation_id_dedup, priority_resolve, surface_diff, incremental_diff, previous_snapshot, schema_diff, enum_removed, method_set_change,
         label_cascade, pattern_tags, severity_rollup, risk_score, infra_risk, top_findings, coverage, integrity_violations, containment_join, first_wins_dedup, carry_forward,
         symbol_min_line, set_ops, canonical_id,
     )
@@ -372,9 +362,6 @@ select request, case when request || '.js' in (select path from f) then request
 x as (select coalesce(a.repository, b.repository) as repository, coalesce(a.path, b.path) as path, case when b.path is null then 'API_REMOVAL' when a.path is null then 'API_ADDITION' when not a.auth and b.auth then 'AUTH_TIGHTENING' end as change
  from a full join b on a.repository = b.repository and a.path = b.path), y as (select *, case change when 'API_ADDITION' then 'MINOR' else 'MAJOR' end as severity from x where change is not null)
 select repository, path, change, severity, {_id(repository="repository", path="path", change="change", severity="severity", detail="''")} as id from y""",
-    "chain_order_diff": _SURFACE + """, g as (select repository, path, handler, arg_min(chain, (observed_at, mount_id)) as a, arg_max(chain, (observed_at, mount_id)) as b from s group by repository, path, handler)
-select repository, path, handler, 'MIDDLEWARE_REMOVED' as change, 'MINOR' as severity, array_to_string(list_sort(list_distinct(list_filter(a, lambda t: not list_contains(b, t)))), ',') as detail from g where len(list_filter(a, lambda t: not list_contains(b, t))) > 0
-union all select repository, path, handler, 'ORDER_CHANGED', 'PATCH', '' from g where a <> b and list_sort(a) = list_sort(b)""",
     "previous_snapshot": "select *, lag(snapshot_no) over (partition by repository order by snapshot_no) as baseline_no from (select distinct repository, snapshot_no from file_snapshots)",
     "schema_diff": f"""with f as (select * from {_PAYLOAD}), a as (select * from f where v = 'AnalysisRequested'), b as (select * from f where v = 'AnalysisFailed'),
 x as (select coalesce(a.entity, b.entity) as entity, coalesce(a.field, b.field) as field, case when b.field is null then 'FIELD_REMOVED' when a.field is null then 'FIELD_ADDED' when a.type <> b.type then 'TYPE_CHANGED' end as change,

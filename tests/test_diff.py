@@ -28,6 +28,35 @@ def test_properties(spark, a, b):
 
 
 def test_chain_rules_keep_order(spark):
-    make = lambda data: spark.createDataFrame(data, "scope string, chain array<string>")
-    got = rows(diff.snapshot_diff(make([("g", ["jwt", "cors"]), ("h", ["a", "b"]), ("i", ["a"])]), make([("g", ["cors"]), ("h", ["b", "a"])]), ["scope"], diff.CHAIN_RULES).select("scope", "change", "detail"))
-    assert got == [("g", "MIDDLEWARE_REMOVED", "jwt"), ("h", "ORDER_CHANGED", ""), ("i", "CHAIN_REMOVED", "")]
+    def make(data):
+        rows_ = [(s, [(n, c) for n, c in chain]) for s, chain in data]
+        return spark.createDataFrame(rows_, "scope string, chain array<struct<name:string,config:string>>")
+
+    plain = lambda *names: [(n, "") for n in names]
+    old = make([("g", plain("jwt", "cors")), ("h", plain("json", "log")), ("i", plain("a")), ("k", [("cors", "x"), ("limiter", "")]), ("same", plain("jwt")), ("more", plain("log")), ("none", [])])
+    new = make([("g", plain("cors")), ("h", plain("log", "json")), ("k", [("cors", "y"), ("limiter", "")]), ("same", plain("jwt")), ("more", plain("log", "jwt")), ("none", [])])
+    got = rows(diff.chain_findings(old, new, ["scope"]))
+    assert got == [
+        ("g", "MIDDLEWARE_ORDER_CHANGED", "", "MINOR"), ("g", "MIDDLEWARE_REMOVED", "jwt", "MAJOR"), ("h", "MIDDLEWARE_ORDER_CHANGED", "", "PATCH"), ("i", "CHAIN_REMOVED", "", "MAJOR"),
+        ("k", "MIDDLEWARE_CONFIG_CHANGED", "cors", "MINOR"), ("more", "MIDDLEWARE_ORDER_CHANGED", "", "MINOR"),
+    ]
+
+
+def test_surface_rules_and_moves(spark):
+    layout = "repo string, method string, path string, operation_id string, params array<string>, required array<string>, request map<string,string>, responses map<string,string>, auth_type string, auth_required boolean"
+    make = lambda data: spark.createDataFrame([("r", *x) for x in data], layout)
+    old = make([
+        ("GET", "/a/{id}", "getA", ["id"], [], {}, {"200": "x"}, "Public", False), ("POST", "/b", "createB", [], ["n"], {"n": "int", "o": "int"}, {"200": "x", "201": "y"}, "Public", False),
+        ("GET", "/gone", "twice", [], [], {}, {}, "Public", False), ("GET", "/gone2", "twice", [], [], {}, {}, "Public", False), ("GET", "/n", None, None, None, None, None, "JWT", True),
+    ])
+    new = make([
+        ("PUT", "/c", "getA", [], [], {}, {"200": "x"}, "Public", False), ("POST", "/b", "createB", [], ["n", "m"], {"n": "string", "o": "int", "p": "int", "m": "int"}, {"200": "z"}, "JWT", True),
+        ("GET", "/n", None, None, None, None, None, "JWT", True),
+    ])
+    got = {tuple(r)[1:] for r in rows(diff.surface_findings(old, new, ["repo"]))}
+    assert got == {
+        ("GET /a/{id}", "API_REMOVAL", "MAJOR", ""), ("GET /gone", "API_REMOVAL", "MAJOR", ""), ("GET /gone2", "API_REMOVAL", "MAJOR", ""), ("PUT /c", "API_ADDITION", "MINOR", ""),
+        ("PUT /c", "METHOD_CHANGED", "MAJOR", "GET -> PUT"), ("PUT /c", "PATH_CHANGED", "MAJOR", "/a/{id} -> /c"), ("PUT /c", "PATH_PARAMETER_REMOVED", "MAJOR", "id"),
+        ("POST /b", "REQUIRED_FIELD_ADDED", "MAJOR", "m"), ("POST /b", "API_REQUEST_EXPANSION", "MINOR", "p"), ("POST /b", "FIELD_TYPE_CHANGED", "MAJOR", "n"), ("POST /b", "STATUS_REMOVED", "MAJOR", "201"),
+        ("POST /b", "RESPONSE_CHANGED", "MAJOR", "200"), ("POST /b", "AUTH_TIGHTENING", "MAJOR", "Public -> JWT"),
+    }
