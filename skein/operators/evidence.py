@@ -47,17 +47,24 @@ def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(repository, src, dst, type): imports resolved to files of the repository, else external packages.
 
     Relative imports are joined to the importing file's directory; candidates
-    with the usual suffixes are equi-joined and the first that exists wins.
+    with the usual suffixes are equi-joined and the first that exists wins.  In
+    Python leading dots climb packages, other modules are looked for from the root
+    and from ``src``; what isn't found there is external.
     """
     imp = facts.where("kind = 'import'").select("repository", F.col("path").alias("src"), F.col("name").alias("target")).distinct()
     base = F.regexp_replace("src", "/?[^/]*$", "")
-    rel = F.col("target").startswith("./") | F.col("target").startswith("../")
+    python = F.col("src").endswith(".py")
+    dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
+    rel = F.when(python, dots > 0).otherwise(F.col("target").startswith("./") | F.col("target").startswith("../"))
+    tail = F.replace(F.regexp_replace("target", r"^\.+", ""), F.lit("."), F.lit("/"))
+    module = normalise(F.when(dots > 0, F.concat_ws("/", base, F.repeat(F.lit("../"), dots - 1), tail)).otherwise(tail))
+    modules = F.array(*(F.concat(F.lit(root), module, F.lit(s)) for root in ("", "src/") for s in (".py", "/__init__.py")))
     joined = normalise(F.concat_ws("/", base, F.col("target")))
     cands = F.array(*(F.concat(joined, F.lit(s)) for s in ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".py", "/index.js", "/index.ts")))
-    tried = imp.select("*", F.posexplode_outer(F.when(rel, cands)).alias("pos", "cand"))
+    tried = imp.select("*", rel.alias("rel"), F.posexplode_outer(F.when(python, F.when(dots > 0, F.slice(modules, 1, 2)).otherwise(modules)).when(rel, cands)).alias("pos", "cand"))
     known = files.select(F.col("repository").alias("_r"), F.col("path").alias("_p")).distinct()
     hit = tried.join(known, (F.col("repository") == F.col("_r")) & (F.col("cand") == F.col("_p")), "left")
-    best = hit.groupBy("repository", "src", "target").agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("pos"))).alias("file"), F.max(F.col("pos").isNotNull()).alias("rel"))
+    best = hit.groupBy("repository", "src", "target").agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("pos"))).alias("file"), F.max("rel").alias("rel"))
     return best.select("repository", "src", F.coalesce("file", "target").alias("dst"), F.when(F.col("file").isNotNull(), "internal").when(F.col("rel"), "unresolved").otherwise("external").alias("type")).distinct()
 
 

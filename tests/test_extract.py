@@ -160,3 +160,19 @@ def test_call_edges(spark):
     ]
     df = spark.createDataFrame(f, "repository string, path string, kind string, name string, owner string, value string, line int")
     assert rows(evidence.call_edges(df)) == [("r", "a.js:main", "a.js:run"), ("r", "a.js:module", "b.js:only"), ("r", "a.js:start", "a.js:go")]
+
+
+def test_import_edges_of_both_kinds(spark):
+    from skein.operators import evidence
+
+    f = [("r", "a/b/m.py", "import", n) for n in (".x", "..y.z", "pkg", "src_mod.q", "os", "...gone")] + [("r", "w/v.ts", "import", n) for n in ("./u", "../a", "react", "./none")]
+    files = [("r", p) for p in ("a/b/x.py", "a/y/z.py", "pkg/__init__.py", "src/src_mod/q.py", "w/u.ts", "a/index.js")]
+    got = rows(evidence.import_edges(spark.createDataFrame(f, "repository string, path string, kind string, name string"), spark.createDataFrame(files, "repository string, path string")))
+    assert got == sorted(
+        [
+            ("r", "a/b/m.py", "a/b/x.py", "internal"), ("r", "a/b/m.py", "a/y/z.py", "internal"), ("r", "a/b/m.py", "pkg/__init__.py", "internal"), ("r", "a/b/m.py", "src/src_mod/q.py", "internal"),
+            ("r", "a/b/m.py", "os", "external"), ("r", "a/b/m.py", "...gone", "unresolved"), ("r", "w/v.ts", "w/u.ts", "internal"), ("r", "w/v.ts", "a/index.js", "internal"),
+            ("r", "w/v.ts", "react", "external"), ("r", "w/v.ts", "./none", "unresolved"),
+        ],
+        key=repr,
+    )
