@@ -65,9 +65,16 @@ def quality_warnings(spark, d):
 
 
 def route_candidates(spark, d):
-    """Extracted endpoints under their routers' mounts."""
-    e = _facts(spark, d).where("kind = 'endpoint'")
-    c = e.select("repository", F.col("path").alias("source_file"), F.col("owner").alias("router_symbol"), F.substring_index("name", " ", 1).alias("method"), F.substring_index("name", " ", -1).alias("path"), F.col("line").alias("line_start"), F.lit(None).cast("array<string>").alias("middleware_tokens"))
+    """Extracted endpoints with their own middleware under their routers' mounts."""
+    f = _facts(spark, d)
+    chain = f.where("kind = 'middleware'").groupBy("repository", F.col("path").alias("source_file"), F.col("owner").alias("_route")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("value").cast("int").alias("at"), "name"))), lambda x: x["name"]).alias("middleware_tokens")
+    )
+    c = f.where("kind = 'endpoint'").select(
+        "repository", F.col("path").alias("source_file"), F.col("owner").alias("router_symbol"), F.substring_index("name", " ", 1).alias("method"), F.substring_index("name", " ", -1).alias("path"),
+        F.col("line").alias("line_start"), F.col("name").alias("_route"),
+    )
+    c = c.join(chain, ["repository", "source_file", "_route"], "left").drop("_route")
     r = routes.resolve_routes(c, table(spark, d, "router_mounts"))
     return r.select("repository", "source_file", "line_start", "normalized_key", "operation_id", "resolved_auth_type", "endpoint_hash")
 
