@@ -7,9 +7,9 @@ all repositories.  Most repositories declare little, so equivalent patterns are
 mined: path patterns, phrases of head comments, openings of lines and shapes of
 a text (how much of it is literals, long lines, numbered members).  A pattern is
 kept where its files are seeds nearly always, often enough and in several
-repositories.  Seeds are found in a bounded sample of files: those the attribute
-rules name, and those whose text gives evidence of its own.  Outside the sample
-no such evidence is looked for: rules and mined patterns alone decide.
+repositories.  Seeds are looked for among all files: those the well-known globs
+name, and those whose text gives evidence of its own.  Evidence makes seeds
+only: rules and mined patterns alone decide.
 """
 
 from __future__ import annotations
@@ -107,11 +107,16 @@ NUMBERED = re.compile(r"\b(?:get|set|read|write|has|clear|put|fetch|is|with|add)
 SLOT = re.compile(r"\[\s*(\d+)\s*\]")
 #: Comments without quotes in them, which would look like code among literals.
 SPOKEN = re.compile(r"^\s*(?://|#)[^'\"\n]*$", re.M)
-#: Quoted strings that read as values (no blanks next to signs of code) and numbers.
-LITERAL = re.compile(r"'[^'\n ]{1,}'|\"[^\"\n ]{1,}\"|\b0x[0-9a-fA-F]+\b|-?\b\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b")
+#: Quoted strings that read as values (no blanks next to signs of code) and numbers; the set of first characters makes the search fast.
+LITERAL = re.compile(
+    r"""['"\-\d](?:(?<=')[^'\n ]+'|(?<=")[^"\n ]+"|(?<=-)\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b"""
+    r"""|(?<=\d)(?<!\w\d)(?:(?<=0)x[0-9a-fA-F]+\b|\d*(?:\.\d+)?(?:[eE][-+]?\d+)?\b))"""
+)
 #: Values in JSON, where a string followed by a colon is a name.
 JSON_VALUE = re.compile(r'"(?:[^"\\\n]|\\.)*"(?!\s*:)|-?\b\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b|\b(?:true|false|null)\b')
-WORD = re.compile(r"\w")
+WORDS = re.compile(r"\w+")
+#: A call whose name ends in a digit; every numbered member is one.
+CALLED = re.compile(r"\d\s*\(")
 STATEMENT = re.compile(r"[;{}]|=>|lambda ")
 
 
@@ -158,6 +163,10 @@ def is_minified(text: str) -> bool:
     return blanks < 0.12 and len(STATEMENT.findall(code)) * 60 > len(code)
 
 
+def _letters(text: str) -> int:
+    return sum(map(len, WORDS.findall(text)))
+
+
 def is_data(text: str, path: str) -> bool:
     """Bulk values under a source file's name: records of one form in a JSON array, or a JSON array or text that is almost all literals."""
     plain, literal = text, LITERAL
@@ -172,20 +181,20 @@ def is_data(text: str, path: str) -> bool:
                 return True
         if re.match(r"\[\s*\{", plain):
             return False
-    else:
-        plain = SPOKEN.sub("", text)
     if len(text) < 600:
         return False
+    if literal is LITERAL:
+        plain = SPOKEN.sub("", text)
     values = literal.findall(plain)
     if len(values) < 20 and max(map(len, values), default=0) < 400:
         return False
-    rest = literal.sub("", plain)
-    return len(WORD.findall(rest)) < 0.12 * len(WORD.findall(plain))
+    letters = _letters(plain)
+    return letters - _letters(" ".join(values)) < 0.12 * letters
 
 
 def is_templated(text: str) -> bool:
     """Most lines are members that differ by a number, or use the slot of that number."""
-    members = NUMBERED.findall(text)
+    members = NUMBERED.findall(text) if len(CALLED.findall(text)) >= 4 else []
     if len(members) < 4:
         return False
     slots = set(SLOT.findall(text))
@@ -196,7 +205,7 @@ def is_templated(text: str) -> bool:
 
 
 def text_evidence(text: str, path: str) -> str | None:
-    """What the text of a sampled file tells of itself: generated, vendored, minified, data or nothing."""
+    """What the text of a file tells of itself: generated, vendored, minified, data or nothing."""
     if not text.strip():
         return None
     head = declared_head(text)
@@ -206,7 +215,8 @@ def text_evidence(text: str, path: str) -> str | None:
         return "data"
     if not path.lower().endswith(".json") and is_minified(text):
         return "minified"
-    if COMPILED.search(text) or is_templated(text):
+    # every sign of compiled code holds one of the two
+    if ("__" in text or "sourceMappingURL" in text) and COMPILED.search(text) or is_templated(text):
         return "generated"
     return None
 
@@ -299,8 +309,6 @@ PHRASE_WORD = re.compile(r"[^\W\d_]+|\d[\d.]*|@")
 #: Runs of scripts written without blanks.
 UNSPACED = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]{4,}")
 NAMES_IN_JSON = re.compile(r'"(\w+)"\s*:')
-_WORDS = re.compile(r"\w+")
-_MEMBER = re.compile(r"\w\d+\s*\(")
 _DIGITS = str.maketrans("123456789", "000000000")
 #: Characters of a line's opening.
 OPENING = 28
@@ -336,13 +344,13 @@ def shapes(text: str, path: str) -> set[str]:
         code = "\n".join(long)
         blanks, dense = _share(code.count(" ") / len(code), 10), min(2, len(STATEMENT.findall(code)) * 60 // len(code))
     plain = text if json else SPOKEN.sub("", text)
-    letters = sum(map(len, _WORDS.findall(plain))) or 1
-    rest = sum(map(len, _WORDS.findall((JSON_VALUE if json else LITERAL).sub("", plain)))) / letters
+    letters = _letters(plain)
+    rest = (letters - _letters(" ".join((JSON_VALUE if json else LITERAL).findall(plain)))) / (letters or 1)
     out = {
         f"long lines {_share(share, 4)}, blanks {blanks}, dense {dense}, json {json}",
         f"without literals {_share(rest, 12)}, size {min(12, len(text).bit_length())}, json {json}",
     }
-    members = NUMBERED.findall(text) if len(_MEMBER.findall(text)) >= 4 else []
+    members = NUMBERED.findall(text) if len(CALLED.findall(text)) >= 4 else []
     if len(members) >= 4:
         slots = set(SLOT.findall(text))
         body = [x for x in lines if len(x.strip()) > 1 and not COMMENT.match(x)]
@@ -366,64 +374,87 @@ def marks_of(text: str, path: str) -> tuple[set[str], set[str]]:
         return marks, set()
     head = {"phrase " + x for x in _phrases(head_lines(text))}
     near = {"phrase " + x for x in _phrases(COMMENT_LINE.findall(text))} - head
-    openings = {x.strip()[:OPENING].translate(_DIGITS) for x in text.split("\n")}
+    openings = {x.strip()[:OPENING] for x in text.translate(_DIGITS).split("\n")}
     marks |= head | {"line " + x for x in openings if len(x) >= 8} | {"shape " + x for x in shapes(text, path)}
     return marks, near
 
 
 def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks of sampled files with how many files and seeds of each class have them, summed up per batch."""
+    """Marks of seeds with how many seeds of each class have them, summed up per batch."""
     for b in batches:
         count: Counter = Counter()
         for repository, path, text in zip(b["repository"], b["path"], b["text"]):
             text, path = text or "", path or ""
             kind = well_known(path) or text_evidence(text, path)
-            marks, near = marks_of(text, path)
-            count.update((m, repository, kind) for m in marks)
-            count.update((m, repository, None) for m in near)
+            if kind:
+                count.update((m, repository, kind) for m in marks_of(text, path)[0])
         yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["mark", "repository", "kind", "n"])
 
 
-def mined_patterns(rows: DataFrame, sample: int, support: int, rate: float, repositories: int) -> DataFrame:
-    """(mark, kind, files, seeds) of the patterns that tell seeds, mined from about ``sample`` rows.
+def _marked(candidates):
+    """Path class by well-known globs of each row, and which candidates are among its marks and among what it has outside its head only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = candidates.value
+        for b in batches:
+            out = b[["doc_id", "repository", "path"]].copy()
+            out["by_path"] = [well_known(path or "") for path in b["path"]]
+            both = [marks_of(text or "", path or "") for path, text in zip(b["path"], b["text"])]
+            out["marks"], out["near"] = [list(known & m) for m, _ in both], [list(known & n) for _, n in both]
+            yield out
 
-    The sample is drawn by a hash of repository and path, so it is the same
-    whatever the partitions.  ``rate`` is a pattern's share of seeds with one
-    stranger added, so even a pattern without strangers needs some files.
+    return run
+
+
+def _mined(rows: DataFrame, support: int, rate: float, repositories: int) -> tuple[DataFrame, DataFrame]:
+    """The patterns (mark, kind, files, seeds) mined from all rows, and the rows (doc_id, repository, path, by_path, marks) with what they have of the candidates.
+
+    Seeds are counted first: a pattern without any stranger would need ``support``
+    and ``rate`` from them alone, which leaves few candidates.  Then all files
+    that have a candidate are counted.  ``rate`` is a pattern's share of seeds
+    with one stranger added, so even a pattern without strangers needs some files.
     """
-    total = rows.count()
-    steps = 1 << 20
-    keep = min(steps, -(-sample * steps // max(1, total)))
-    drawn = rows.where(F.pmod(F.xxhash64("repository", "path"), F.lit(steps)) < keep)
-    counts = spread(drawn.select("repository", "path", "text")).mapInPandas(_seeds, "mark string, repository string, kind string, n long")
-    return (
-        counts.groupBy("mark", "repository", "kind").agg(F.sum("n").alias("n"))
+    spark, rows = rows.sparkSession, spread(rows)
+    seeds = rows.select("repository", "path", "text").mapInPandas(_seeds, "mark string, repository string, kind string, n long")
+    candidates = materialize(
+        seeds.groupBy("mark", "repository", "kind").agg(F.sum("n").alias("n"))
         .groupBy("mark", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("r"))
-        .groupBy("mark")
-        .agg(
-            F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0)).alias("seeds"),
-            F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))["kind"].alias("kind"),
-            F.max(F.when(F.col("kind").isNotNull(), F.col("r"))).alias("r"),
-        )
-        .where((F.col("seeds") >= support) & (F.col("r") >= repositories) & (F.col("seeds") >= rate * (F.col("files") + 1)))
-        .select("mark", "kind", "files", "seeds")
+        .groupBy("mark").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", "kind"))["kind"].alias("kind"), F.max("r").alias("r"))
+        .where((F.col("seeds") >= support) & (F.col("r") >= repositories) & (F.col("seeds") >= rate * (F.col("seeds") + 1)))
+        .select("mark", "kind", "seeds"),
+        "candidates",
     )
+    known = spark.sparkContext.broadcast(frozenset(candidates.select("mark").toArrow()["mark"].to_pylist()))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    marked = rows.mapInPandas(_marked(known), f"doc_id {kind}, repository string, path string, by_path string, marks array<string>, near array<string>")
+    marked = materialize(marked, "marked")
+    files = marked.select(F.explode(F.concat("marks", "near")).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("files"))
+    patterns = candidates.join(files, "mark").where(F.col("seeds") >= rate * (F.col("files") + 1))
+    return patterns.select("mark", "kind", "files", "seeds"), marked.drop("near")
+
+
+def mined_patterns(rows: DataFrame, sample: int | None, support: int, rate: float, repositories: int) -> DataFrame:
+    """(mark, kind, files, seeds) of the patterns that tell seeds, mined from all rows, or from about ``sample`` of them where that is given.
+
+    A sample is drawn by a hash of repository and path, so it is the same
+    whatever the partitions.
+    """
+    if sample is not None:
+        steps = 1 << 20
+        keep = min(steps, -(-sample * steps // max(1, rows.count())))
+        rows = rows.where(F.pmod(F.xxhash64("repository", "path"), F.lit(steps)) < keep)
+    return _mined(rows, support, rate, repositories)[0]
 
 
 def _judged(patterns):
-    """Path class by well-known globs and the strongest mined pattern of each row."""
+    """The strongest mined pattern of each row that no well-known glob names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = patterns.value
         for b in batches:
-            by_path, mined = [], []
-            for path, text in zip(b["path"], b["text"]):
-                text, path = text or "", path or ""
-                by_path.append(well_known(path))
-                best = None if by_path[-1] else max(((known[m], m) for m in marks_of(text, path)[0] if m in known), default=None)
-                mined.append(f"{best[0][1]}:{best[1]}" if best else None)
-            out = b[["doc_id", "repository", "path"]].copy()
-            out["by_path"], out["mined"] = by_path, mined
+            best = [None if kind else max(((known[m], m) for m in marks if m in known), default=None) for kind, marks in zip(b["by_path"], b["marks"])]
+            out = b[["doc_id", "repository", "path", "by_path"]].copy()
+            out["mined"] = [f"{x[0][1]}:{x[1]}" if x else None for x in best]
             yield out
 
     return run
@@ -437,31 +468,30 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Copies of a repository's rule list, so that a repository with a third of all files is joined in so many tasks.
 SALT = 16
-#: Files from which patterns are mined, about.
-SAMPLE = 10_000
 
 
 def file_origins(
-    docs: DataFrame, declared: DataFrame | None = None, sample: int = SAMPLE, support: int = 6, rate: float = 0.93, repositories: int = 3
+    docs: DataFrame, declared: DataFrame | None = None, support: int = 6, rate: float = 0.93, repositories: int = 3
 ) -> DataFrame:
     """(doc_id, origin, reason) of every row: origin is generated, minified, vendored, data or null.
 
     ``docs`` has doc_id, repository, file_path and text; ``declared`` has the
     attribute files (repository, file_path, text).  A declaration decides
     either way; then the well-known globs, then the mined pattern with the most
-    seeds.  Patterns are mined from about ``sample`` rows and applied to every
-    row's whole text: ``support`` seeds in so many ``repositories`` at least,
-    which are ``rate`` of the pattern's files.  The mined patterns come to the
-    driver: their number is bounded by the sample.  Where the rows are too few
-    for that support, rules and globs decide alone.  Null and blank texts have
-    path patterns only; a null path has none; repeated rows come out repeated.
+    seeds.  Patterns are mined from every row's whole text and applied to it:
+    ``support`` seeds in so many ``repositories`` at least, which are ``rate`` of
+    the pattern's files.  Candidates and mined patterns come to the driver, no
+    marks of files do.  Where the rows are too few for that support, rules and
+    globs decide alone.  Null and blank texts have path patterns only; a null
+    path has none; repeated rows come out repeated.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "repository", canonical_path(F.col("file_path")).alias("path"), "text")
-    found = mined_patterns(rows, sample, support, rate, repositories).collect()
-    patterns = spark.sparkContext.broadcast({r["mark"]: (r["seeds"], r["kind"]) for r in found})
+    found, marked = _mined(rows, support, rate, repositories)
+    found = found.toArrow().to_pydict()
+    patterns = spark.sparkContext.broadcast(dict(zip(found["mark"], zip(found["seeds"], found["kind"]))))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = spread(rows).mapInPandas(_judged(patterns), f"doc_id {kind}, repository string, path string, by_path string, mined string")
+    out = marked.mapInPandas(_judged(patterns), f"doc_id {kind}, repository string, path string, by_path string, mined string")
     if declared is not None:
         out = _with_declarations(materialize(out.withColumn("_row", F.monotonically_increasing_id()), "judged"), declared)
     else:

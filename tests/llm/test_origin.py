@@ -84,6 +84,18 @@ def test_mined_patterns_decide_and_are_counted(spark):
     assert again == got
 
 
+def test_patterns_are_mined_from_every_file(spark):
+    """Sixteen seeds among 30,000 files are enough, and every stranger counts against a pattern."""
+    text = """case when id % 1875 = 7 then concat('// generated by werkzeug\nf', id, '()\n') when id % 1875 = 8 then concat('// generated by hobel\nf', id, '()\n')
+      when id = 11 then '// x\ng(x)\n// by hobel\n' when id in (12, 13) then '// made by hobel\ng(x)\n' else concat('g', id, '(x)\n') end"""
+    docs = spark.range(30000).selectExpr("id as doc_id", "concat('r', id % 7) as repository", "concat('src/m', id, '/a', id, '.js') as file_path", f"{text} as text")
+    rows = docs.selectExpr("doc_id", "repository", "file_path as path", "text")
+    marks = {r["mark"]: (r["kind"], r["files"], r["seeds"]) for r in origin.mined_patterns(rows, None, 6, 0.93, 3).collect()}
+    assert marks["phrase by werkzeug"] == ("generated", 16, 16) and marks["phrase generated by hobel"] == ("generated", 16, 16) and "phrase by hobel" not in marks
+    got = {r["doc_id"] for r in origin.file_origins(docs).where("origin is not null").collect()}
+    assert got == {i for i in range(30000) if i % 1875 in (7, 8)}
+
+
 def test_attribute_files_against_git(spark, tmp_path):
     """Globs, precedence per directory, negation and macros, as git itself resolves them."""
     import itertools
